@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,22 +131,46 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
     dealt = numbered.join(blocks, "bucket").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n_shingles", "sketch")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        sk = lambda x: np.frombuffer(b"".join(x["sketch"]), np.uint32).reshape(len(x), t)
-        ls, rs = sk(left), sk(right)
-        lr, rr, ln, rn, li, ri = left["root"].to_numpy(), right["root"].to_numpy(), left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+    def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = g["i"][0], g["j"][0]
+        left, right = np.flatnonzero(g["block"] == i), np.flatnonzero(g["block"] == j)
         us, vs = [], []
-        for x in range(len(ls)):
-            may = np.flatnonzero((rr != lr[x]) & (100 * np.minimum(rn, ln[x]) >= percent * np.maximum(rn, ln[x])) & ((ri > li[x]) | (i != j)))
-            if len(may):
-                may = may[(rs[may] == ls[x]).sum(1) >= least]
-                us.append(np.minimum(ri[may], li[x]))
-                vs.append(np.maximum(ri[may], li[x]))
-        return pd.DataFrame({"u": np.concatenate(us) if us else np.empty(0, np.int64), "v": np.concatenate(vs) if vs else np.empty(0, np.int64)})
+        for x in left:
+            y = right[(g["root"][right] != g["root"][x]) & (100 * np.minimum(g["n_shingles"][right], g["n_shingles"][x]) >= percent * np.maximum(g["n_shingles"][right], g["n_shingles"][x]))]
+            y = y[g["id"][y] > g["id"][x]] if i == j else y
+            if len(y):
+                y = g["id"][y[(g["sketch"][y] == g["sketch"][x]).sum(1) >= least]]
+                us.append(np.minimum(y, g["id"][x]))
+                vs.append(np.maximum(y, g["id"][x]))
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups arrive one after another; a group that a batch cuts is carried over."""
+        names = ["bucket", "i", "j", "block", "id", "root", "n_shingles"]
+        carry: dict[str, np.ndarray] = {}
+        for batch in _with_end(batches):
+            if batch is not None:
+                if not len(batch):
+                    continue
+                new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+                new["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(batch), t)
+                carry = {c: np.concatenate([carry[c], new[c]]) for c in new} if carry else new
+            if not carry:
+                continue
+            step = (carry["bucket"][1:] != carry["bucket"][:-1]) | (carry["i"][1:] != carry["i"][:-1]) | (carry["j"][1:] != carry["j"][:-1])
+            cuts = [0, *(np.flatnonzero(step) + 1).tolist()] + ([len(carry["id"])] if batch is None else [])
+            found = [compare({c: x[p:q] for c, x in carry.items()}) for p, q in zip(cuts, cuts[1:])]
+            carry = {c: x[cuts[-1] :] for c, x in carry.items()} if batch is not None else {}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["u", "v"])
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u long, v long").distinct()
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,9 +195,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     star = filled.filter("id <> u").filter(100 * F.least("n_shingles", "n_u") >= percent * F.greatest("n_shingles", "n_u")).select("u", F.col("id").alias("v")).distinct()
     links = stored(_verified(docs, stored(star, "star"), k, percent), "links")
     root = components(links)
-    now = filled.join(root, filled["id"] == root["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    # The smallest member of a bucket has met all others; only these can still miss one another.
+    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    # Buckets with the same members need one comparison.
     left = now.join(open_, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
     more = _verified(docs, stored(_across(left, t, percent), "across"), k, percent)
     root = components(links.union(more).union(same))
