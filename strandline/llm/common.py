@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,7 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Re
     col = batch.column(column)
     if not len(batch):
         return
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes) // max(1, most)
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
