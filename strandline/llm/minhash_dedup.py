@@ -6,9 +6,9 @@ Long texts fill all bins in the first round, so the work is about one hash a shi
 two sketches is concentrated about t times their similarity.
 
 Bands of sketch rows give candidates; links are confirmed on the full shingle sets. Texts with equal sets collapse to one
-representative first. Within a bucket, all members are compared with its smallest one (a star). Buckets whose members are
-then still in different components compare all members across components by their sketches, in blocks, and confirm what
-may reach the threshold: no pair of a bucket is given up, and copies in a component are never expanded into pairs.
+representative first. Within a bucket, all members are compared with its centre (a star). Buckets whose members are then still
+in different components compare them across components in blocks of bounded size: no link of a bucket is given up, and
+copies in a component are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .components import components
 ROWS = 4
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-5
-#: Members in one side of a block when members of a bucket are compared across components.
-BLOCK = 1024
+#: Shingles in one side of a block when members of a bucket are compared across components.
+BLOCK = 500_000
 #: Up to so many ids are broadcast to pick the texts whose full sets are needed; beyond it the texts are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -119,35 +119,55 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of a bucket's members in different components whose sketches may reach the threshold, compared in blocks.
+    """Links (u, v) between members of a bucket that are in different components, as many as join what can be joined.
 
-    members: (bucket, id, root, n_shingles, sketch).
+    members: (bucket, band, id, root, n_shingles, sketch, s). A bucket is cut into blocks of bounded size and every two blocks
+    meet in one group. There, members are compared across components: sketches first (a pair at the threshold falls short
+    with a chance of about one in a million), then full sets. A link merges two components, whose members needn't meet any
+    more; so a group returns fewer links than it has members. A pair that shares several bands is compared in the first.
     """
     p = percent / 100
     least = max(1, math.floor(t * p - 5.2 * math.sqrt(t * p * (1 - p))))
-    numbered = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("root", "id")) - 1) / BLOCK))
+    running = F.sum("n_shingles").over(Window.partitionBy("bucket").orderBy("root", "id").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = members.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / BLOCK))
     blocks = numbered.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
-    # Block i meets block j >= i: a member is sent to one task for every other block, not paired with every member.
+    # Block i meets block j >= i: a member is sent to one group for every block, not paired with every member.
     dealt = numbered.join(blocks, "bucket").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n_shingles", "sketch")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "id", "root", "n_shingles", "sketch", "s")
 
-    def compare(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = g["i"][0], g["j"][0]
+    def compare(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        i, j, band, ids, n, sk = g["i"][0], g["j"][0], int(g["band"][0]), g["id"], g["n_shingles"], g["sketch"]
         left, right = np.flatnonzero(g["block"] == i), np.flatnonzero(g["block"] == j)
-        us, vs = [], []
-        for x in left:
-            y = right[(g["root"][right] != g["root"][x]) & (100 * np.minimum(g["n_shingles"][right], g["n_shingles"][x]) >= percent * np.maximum(g["n_shingles"][right], g["n_shingles"][x]))]
-            y = y[g["id"][y] > g["id"][x]] if i == j else y
-            if len(y):
-                y = g["id"][y[(g["sketch"][y] == g["sketch"][x]).sum(1) >= least]]
-                us.append(np.minimum(y, g["id"][x]))
-                vs.append(np.maximum(y, g["id"][x]))
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *us]), np.concatenate([none, *vs])
+        comp = g["root"].copy()
+        full: dict[int, frozenset] = {}
+
+        def shingles(k: int) -> frozenset:
+            if k not in full:
+                full[k] = frozenset(g["s"][k].tolist())
+            return full[k]
+
+        found = []
+        for x in left.tolist():
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = y[y > x] if i == j else y
+            if not len(y):
+                continue
+            equal = sk[y] == sk[x]
+            near = equal.sum(1)
+            first = equal.reshape(len(y), -1, ROWS).all(2).argmax(1)
+            good = (near >= least) & (first == band)
+            y, near = y[good], near[good]
+            for k in y[np.argsort(-near, kind="stable")].tolist():
+                if comp[k] != comp[x]:
+                    both = len(shingles(x) & shingles(k))
+                    if 100 * both >= percent * (int(n[x]) + int(n[k]) - both):
+                        found.append((int(ids[x]), int(ids[k])))
+                        comp[comp == comp[k]] = comp[x]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups arrive one after another; a group that a batch cuts is carried over."""
-        names = ["bucket", "i", "j", "block", "id", "root", "n_shingles"]
+        names = ["bucket", "i", "j", "band", "block", "id", "root", "n_shingles"]
         carry: dict[str, np.ndarray] = {}
         for batch in _with_end(batches):
             if batch is not None:
@@ -155,15 +175,19 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
                     continue
                 new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
                 new["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(batch), t)
+                new["s"] = np.empty(len(batch), object)
+                cut, flat = batch.column("s").offsets.to_numpy(), batch.column("s").values.to_numpy()
+                for k in range(len(batch)):
+                    new["s"][k] = flat[cut[k] : cut[k + 1]]
                 carry = {c: np.concatenate([carry[c], new[c]]) for c in new} if carry else new
             if not carry:
                 continue
             step = (carry["bucket"][1:] != carry["bucket"][:-1]) | (carry["i"][1:] != carry["i"][:-1]) | (carry["j"][1:] != carry["j"][:-1])
             cuts = [0, *(np.flatnonzero(step) + 1).tolist()] + ([len(carry["id"])] if batch is None else [])
-            found = [compare({c: x[p:q] for c, x in carry.items()}) for p, q in zip(cuts, cuts[1:])]
+            found = [x for p, q in zip(cuts, cuts[1:]) for x in compare({c: x[p:q] for c, x in carry.items()})]
             carry = {c: x[cuts[-1] :] for c, x in carry.items()} if batch is not None else {}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
@@ -189,17 +213,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Equal sets: one representative for each; the rest hangs on it.
     reps = stored(full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "reps")
     same = full.select("digest", "doc_id").join(reps.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
-    member = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "id", "n_shingles")
-    low = member.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("low"), F.count("*").alias("m")).filter("m > 1")
-    filled = stored(member.join(low, "bucket").select("bucket", "id", "n_shingles", F.col("low.id").alias("u"), F.col("low.n_shingles").alias("n_u")), "filled")
+    member = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
+    wide = member.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    filled = stored(member.join(wide, "bucket").select("bucket", "band", "id", "n_shingles", "m"), "filled")
+    # A bucket's centre is its member that meets the most others in all its buckets: what the others were copied from, if it is there.
+    met = filled.groupBy("id").agg(F.sum("m").alias("met"))
+    centre = filled.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("id"), "n_shingles")).alias("c"))
+    filled = stored(filled.join(centre, "bucket").select("bucket", "band", "id", "n_shingles", (-F.col("c.id")).alias("u"), F.col("c.n_shingles").alias("n_u")), "centred")
     star = filled.filter("id <> u").filter(100 * F.least("n_shingles", "n_u") >= percent * F.greatest("n_shingles", "n_u")).select("u", F.col("id").alias("v")).distinct()
     links = stored(_verified(docs, stored(star, "star"), k, percent), "links")
     root = components(links)
-    # The smallest member of a bucket has met all others; only these can still miss one another.
-    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    # The centre of a bucket has met all others; only these can still miss one another.
+    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("root"))
     open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    left = now.join(open_, "bucket").join(reps.select("id", "n_shingles", "sketch"), "id")
-    more = _verified(docs, stored(_across(left, t, percent), "across"), k, percent)
+    left = stored(now.join(open_, "bucket"), "open")
+    ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    sets = _full_sets(docs, ids, ids.count(), k)
+    more = stored(_across(left.join(reps.select("id", "n_shingles", "sketch"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), t, percent), "across")
     root = components(links.union(more).union(same))
     return signed.select("doc_id", "n_shingles").join(root, signed["doc_id"] == root["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
