@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, minhash_dedup, token_counts, toxicity
+from . import bpe, fingerprint, langid, lm, minhash_dedup, token_counts, toxicity
 from .common import table
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -54,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_score": op5_lm_score,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_fingerprint": op9_fingerprint,
 }
 ORACLES: dict[str, str] = {}
