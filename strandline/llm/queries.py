@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, lm, minhash_dedup, token_counts, toxicity
+from . import bpe, fingerprint, html_blocks, langid, lm, minhash_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_fingerprint": op9_fingerprint,
+    "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {}
