@@ -115,9 +115,22 @@ class Tables:
     unigram: np.ndarray  # smoothed class probabilities
 
 
+def _head(counts: DataFrame, distinct: int, most: int) -> DataFrame:
+    """The most frequent words, at most `most`: all above a count that a histogram over sixteenths of powers of two gives."""
+    if distinct <= most:
+        return counts
+    step = F.floor(F.log2("c") * 16)
+    above, least = 0, 1 << 20
+    for s, n in sorted(map(tuple, counts.groupBy(step.alias("s")).count().collect()), reverse=True):
+        if above + n > most:
+            break
+        above, least = above + n, s
+    return counts.filter(step >= least)
+
+
 def tables(counts: DataFrame, n_texts: int, p: LmParams) -> Tables:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    top = counts.orderBy(F.desc("c"), "h").limit(p.head).toPandas()
+    top = _head(counts, int(distinct), p.head).toPandas().sort_values(["c", "h"], ascending=[False, True])
     by_count = np.arange(len(top))
     keys, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     cls = np.where(by_count < p.classes, by_count + 1, 0)
