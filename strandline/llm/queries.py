@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_blocks, langid, lm, minhash_dedup, token_counts, toxicity
+from . import bpe, decontaminate, fingerprint, html_blocks, langid, lm, minhash_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_lm_score": op5_lm_score,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_fingerprint": op9_fingerprint,
     "op10_html": op10_html,
