@@ -1,15 +1,55 @@
-"""The corpus pipeline: five stages from raw documents to encoded ones."""
+"""The corpus pipeline: five stages, each of which works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from strandline.llm import bpe, decontaminate, langid, minhash_dedup, toxicity
+from strandline.llm.common import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the corpus teaches; those without a letter, or like no language, go."""
+    return langid.keep_known(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose toxicity is below one half."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group that similarities of 0.8 or more on five-word shingles connect."""
+    return minhash_dedup.keep_one(docs, k=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that overlap no benchmark item."""
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the number of tokens and the digests of ids and decoded text."""
+    import public_tokenizers
+
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", clean),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: Language profiles, the fitted toxicity model, sketches and merges have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents table; between stages the rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
