@@ -31,6 +31,7 @@ class SearchOptions:
     penalty_tm_diff: float = 0.6
     penalty_tm_mismatch: float = 0.4
     penalty_length: float = 0.001
+    parameters: str | None = None
     ions: Ions = field(default_factory=Ions)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna, thermo
-from .operators import align, kmers, neighbors
+from .operators import align, duplex, kmers, neighbors
 from .plans import hunt, padlock, search
 from .plans.config import HuntOptions, PadlockOptions, SearchOptions
 
@@ -294,6 +294,23 @@ def exact_amplicons(spark: SparkSession, sf: str) -> DataFrame:
     return search.products(sites, SearchOptions(max_product=1000))
 
 
+@registered("tm_duplex", f"with {Q18}, {STACK}, {tm_sql('q18', 'query_id', 'q', 't')} select query_id, o as seq, round(tm, 6) as tm from t")
+def q_duplex(spark: SparkSession, sf: str) -> DataFrame:
+    """The dynamic program on perfect duplexes, which have a closed form."""
+    q = queries_18(spark, sf).select("query_id", "seq")
+    return duplex.site_tm(q, F.col("seq"), dna.revcomp_acgt(F.col("seq"))).select("query_id", "seq", F.round("tm", 6).alias("tm"))
+
+
+@registered("primer_site_tm")
+def q_site_tm(spark: SparkSession, sf: str) -> DataFrame:
+    return search.binds(genome(spark, sf), pruned(spark, sf), SearchOptions(distance=0, hamming=True))
+
+
+@registered("insilico_pcr")
+def q_pcr(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(genome(spark, sf), pruned(spark, sf), SearchOptions(distance=0, hamming=True, max_product=1000))[1].select("chrom_id", "for_primer_id", "rev_primer_id", "for_pos", "rev_pos", "product_length", "for_tm", "rev_tm", "penalty", "seq")
+
+
 @registered("amplicon_join", f"with {AMPS} select chrom_id, for_id, rev_id, for_pos, rev_pos, product_length from am")
 def q_amplicons(spark: SparkSession, sf: str) -> DataFrame:
     return exact_amplicons(spark, sf).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", "product_length")

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import dna, thermo
-from strandline.operators import align, intervals, kmers, neighbors
+from strandline.operators import align, duplex, intervals, kmers, neighbors
 from strandline.plans import hunt, padlock, search
-from strandline.plans.config import HuntOptions
+from strandline.plans.config import HuntOptions, SearchOptions
 
 Q, FLANK = "TCTCTGCACACACGTTGT", "GATTACAGGC"
 
@@ -142,3 +142,27 @@ def test_amplicons_equal_nested_loop(spark):
 def test_spread_takes_from_the_left(spark):
     t = spark.createDataFrame([("a", k) for k in (0, 3, 39, 40, 60, 80)], "g string, k int")
     assert sorted(r["k"] for r in padlock.spread(t, ["g"], 40).collect()) == [0, 40, 80]
+
+
+def test_duplex_program_equals_closed_form(spark):
+    random.seed(6)
+    oligos = ["".join(random.choice("ACGT") for _ in range(random.randint(12, 30))) for _ in range(40)] + ["AT" * 8, "GC" * 8, "CAG" * 6]
+    df = spark.createDataFrame([(o, rc(o)) for o in oligos], "o string, r string")
+    rows = duplex.site_tm(df, F.col("o"), F.col("r")).withColumn("want", thermo.tm_perfect(F.col("o"))).collect()
+    assert all(r["tm"] == pytest.approx(r["want"], abs=1e-6) for r in rows)
+    assert duplex.melt(["A" * 61, "", "AAAA"], ["T" * 61, "A", "CCCC"]) == [None, None, 0.0]
+    one_site = duplex.melt([oligos[0]], [rc(oligos[0]) + "GG"])[0]
+    assert one_site == pytest.approx(duplex.melt([oligos[0]], [rc(oligos[0])])[0], abs=1e-6)
+
+
+def test_search_finds_a_product(spark):
+    random.seed(7)
+    seq = "".join(random.choice("ACGT") for _ in range(900))
+    fwd, rev = seq[100:120], rc(seq[400:420])
+    g = spark.createDataFrame([(0, seq)], "chrom_id int, seq string")
+    p = spark.createDataFrame([(0, "f", fwd), (1, "r", rev), (2, "short", "ACGTACGTACGTACG")], "primer_id int, name string, seq string")
+    sites, products = search.search(g, p, SearchOptions(cut_temp=30.0))
+    assert {(r["primer_id"], r["on_forward"], r["pos"]) for r in sites.collect()} >= {(0, True, 100), (1, False, 400)}
+    got = [r for r in products.collect() if r["for_pos"] == 100 and r["rev_pos"] == 400]
+    assert len(got) == 1 and got[0]["seq"] == seq[100:420] and got[0]["product_length"] == 320
+    assert got[0]["for_tm"] == pytest.approx(got[0]["for_match_tm"], abs=1e-6)
