@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult and threat (with a lexical weight), target, negation, reporting verb, quotation mark, clause break,
-other. Four small transducers read the symbols one after another, each passing them on with a factor: negation weakens what
-follows it closely, reported speech weakens what is quoted, a target strengthens an insult and makes a threat one, insults
-in a row strengthen each other. They are composed into one machine, which scores matched clauses, not isolated words.
+other. Five small transducers read the symbols one after another, each passing them on with a factor: negation weakens what
+follows it closely, reported speech weakens what is quoted, a target strengthens an insult and makes a threat one (before or
+after it), insults in a row strengthen each other. They are composed into one machine, which scores matched clauses, not isolated words.
 
 The insult terminals (words and word beginnings) and the calibration of clause scores to a probability are learned from
 labelled documents: a sample of at most `ToxParams.sample` of them, picked by a hash of the id (the documented bound of the
@@ -82,13 +82,18 @@ def _window(opener: int, span: int, inside: dict[int, float], outside: dict[int,
 
 
 def negation() -> Transducer:
-    return _window(NOT, 3, {INSULT: 0.35, THREAT: 0.2}, {})
+    return _window(NOT, 3, {INSULT: 0.35, THREAT: 0.2, TARGET: 0.2}, {})
 
 
 def target() -> Transducer:
     return _window(TARGET, 6, {INSULT: 1.4, THREAT: 1.5}, {THREAT: 0.25})
 
 
+def aimed() -> Transducer:
+    """A target that follows a threat closely makes up for what the threat lacks without one; elsewhere a target has no weight of its own."""
+    return _window(THREAT, 4, {TARGET: 1.25}, {TARGET: 0.0})
+
+
 def chain() -> Transducer:
     return _window(INSULT, 4, {INSULT: 1.15}, {})
 
@@ -99,12 +104,12 @@ def reported() -> Transducer:
     for s in range(3):
         for x in range(8):
             t.to[s][x] = {0: 1 if x == REPORT else 0, 1: 0 if x == BREAK else 2 if x == QUOTE else 1, 2: 0 if x == QUOTE else 2}[s]
-            t.factor[s][x] = 0.5 if s and x in (INSULT, THREAT) else 1.0
+            t.factor[s][x] = 0.5 if s and x in (INSULT, THREAT, TARGET) else 1.0
     return t
 
 
 def grammar() -> Transducer:
-    return negation().then(reported()).then(target()).then(chain())
+    return negation().then(reported()).then(target()).then(aimed()).then(chain())
 
 
 class Scorer:
@@ -125,7 +130,7 @@ class Scorer:
         if kind == THREAT:
             return THREAT, max(best, self.p.threat)
         if kind != OTHER:
-            return kind, 0.0
+            return kind, self.p.threat if kind == TARGET else 0.0
         return (INSULT, best) if best > 0 else None
 
     def clauses(self, text: str) -> tuple[list[float], int]:
