@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,18 +121,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
     """Links (u, v) between members of a bucket that are in different components, as many as join what can be joined.
 
-    members: (bucket, band, id, root, n_shingles, sketch, s). A bucket is cut into blocks of bounded size and every two blocks
-    meet in one group. There, members are compared across components: sketches first (a pair at the threshold falls short
+    members: (bucket, band, blocks, id, root, n_shingles, sketch, s). A bucket is dealt, by a hash of the id, to as many blocks
+    as its size asks for, and every two blocks meet in one group. There, members are compared across components: sketches first (a pair at the threshold falls short
     with a chance of about one in a million), then full sets. A link merges two components, whose members needn't meet any
     more; so a group returns fewer links than it has members. A pair that shares several bands is compared in the first.
     """
     p = percent / 100
     least = max(1, math.floor(t * p - 5.2 * math.sqrt(t * p * (1 - p))))
-    running = F.sum("n_shingles").over(Window.partitionBy("bucket").orderBy("root", "id").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = members.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / BLOCK))
-    blocks = numbered.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
+    numbered = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # Block i meets block j >= i: a member is sent to one group for every block, not paired with every member.
-    dealt = numbered.join(blocks, "bucket").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "id", "root", "n_shingles", "sketch", "s")
 
     def compare(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -224,12 +222,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = stored(_verified(docs, stored(star, "star"), k, percent), "links")
     root = components(links)
     # The centre of a bucket has met all others; only these can still miss one another.
-    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("root"))
-    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
+    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.sum("n_shingles") / BLOCK).cast("long").alias("blocks")).filter("a <> b").select("bucket", "blocks")
     left = stored(now.join(open_, "bucket"), "open")
     ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
     sets = _full_sets(docs, ids, ids.count(), k)
-    more = stored(_across(left.join(reps.select("id", "n_shingles", "sketch"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), t, percent), "across")
+    more = stored(_across(left.join(reps.select("id", "sketch"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), t, percent), "across")
     root = components(links.union(more).union(same))
     return signed.select("doc_id", "n_shingles").join(root, signed["doc_id"] == root["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
