@@ -244,7 +244,9 @@ def q_edit(spark: SparkSession, sf: str) -> DataFrame:
 # With one edit: windows of 17 to 19 bases; the least distance of each query and chromosome.
 @registered("edit_min_distance", f"""with {Q18}, w as (select chrom_id, seq, unnest(range(length(seq) - 16)) as pos from genome where length(seq) >= 17),
 t as (select distinct chrom_id, substr(seq, pos + 1, n) as w from w, (values (17), (18), (19)) l(n) where pos + n <= length(seq)),
-u as (select w, query_id, levenshtein(w, q) as d from (select distinct w from t), q18 where (substr(w, 1, 8) = substr(q, 1, 8) or substr(w, length(w) - 7, 8) = substr(q, 11, 8)) and levenshtein(w, q) <= 1)
+x as (select distinct w, substr(w, 1, 8) as a, substr(w, length(w) - 7, 8) as b from t),
+u as (select w, query_id, levenshtein(w, q) as d from x join q18 on a = substr(q, 1, 8) where levenshtein(w, q) <= 1
+  union select w, query_id, levenshtein(w, q) as d from x join q18 on b = substr(q, 11, 8) where levenshtein(w, q) <= 1)
 select query_id, chrom_id, cast(min(d) as integer) as distance from u join t on t.w = u.w group by query_id, chrom_id""")
 def q_edit_min(spark: SparkSession, sf: str) -> DataFrame:
     h = hunt.hunt(genome(spark, sf), queries_18(spark, sf), HuntOptions(distance=1, forward_only=True, max_matches=None))[0]
