@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; a batch of long texts is cut by bytes, so that memory doesn't grow with row length.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+#: Bytes of text that are hashed at once; working arrays take about fifty times as much.
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import byte_slices, held_out, small_batches, stored
+from .common import SLICE, byte_slices, held_out, small_batches, stored
 
 ALPHA = 0.1
 
@@ -44,7 +44,7 @@ class LmParams:
 
 def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for whole in batches:
-        for part in byte_slices(whole, text, 4 << 20):
+        for part in byte_slices(whole, text, SLICE):
             h, off = wordhash.words(part.column(text))
             yield part, h, off
 

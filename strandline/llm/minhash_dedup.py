@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import byte_slices, small_batches, stored
+from .common import SLICE, byte_slices, small_batches, stored
 from .components import components
 
 ROWS = 4
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         seeds = np.array([wordhash.word_hash(f"band{j}") for j in range(b)], np.uint64)
         mult = np.array([wordhash.word_hash(f"row{j}") | 1 for j in range(ROWS)], np.uint64)
         for whole in batches:
-            for part in byte_slices(whole, 1, 4 << 20):
+            for part in byte_slices(whole, 1, SLICE):
                 sets = _sets(part.column(1), k)
                 digest, sk, bands = [], [], []
                 for s in sets:
@@ -101,7 +101,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in byte_slices(whole, 1, 4 << 20):
+            for part in byte_slices(whole, 1, SLICE):
                 sets = [s.view(np.int64) for s in _sets(part.column(1), k)]
                 cut = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets)))], names=["doc_id", "s"])
