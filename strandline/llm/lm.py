@@ -1,17 +1,21 @@
 """A log-bilinear language model trained in numpy by noise-contrastive estimation.
 
 Corpus statistics (how often each word occurs in all training texts) are counted by Spark and may have any number of words.
-The model's classes are the most frequent words, one class for every other word, and the end of a text. The two classes
-before a token predict its class: score(w | a, b) = (C1 * r_a + C2 * r_b) . q_w + bias_w, normalised over all classes. The
-probability of a word in the class of others is the class's probability times the word's smoothed share of that class, with
-one share for all unseen words; so the token log-probabilities are normalised over the vocabulary and the unseen word.
+The model's classes are the most frequent words, groups of all other words (by hash; their number grows with the vocabulary),
+and the end of a text. The two words before a token predict its class: score(w | a, b) = (C1 * r_a + C2 * r_b) . q_w + bias_w,
+normalised over all classes. A group's words lie in buckets of like frequency, and every bucket and every word has a vector and
+a bias of its own: P(w | a, b) = P(group | a, b) P(bucket | group, a, b) P(w | bucket, a, b), each normalised, with one unseen
+word a group; so the token log-probabilities are normalised over the vocabulary and the unseen words. As context, a word of a
+group is the mean of two rows that its hash picks from a table, so that words share a pair of rows only by chance.
 
 Training: each task runs noise-contrastive estimation (unigram noise, shared within a minibatch) over its rows' weighted
-class triples; parameters are averaged by weight between rounds. What a task sends back has the size of the model.
+triples; rows of parameters are averaged by weight between rounds. What a task sends back has the size of the classes' model.
+Words in groups are trained and scored where a shuffle by group brings their tokens together; their parameters stay there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +33,18 @@ ALPHA = 0.1
 @dataclass(frozen=True)
 class LmParams:
     """classes: frequent words with a class of their own. head: frequent words whose counts every task holds; both bound what is
-    sent to tasks. dim, noise, batch, rate, heavy, rounds: of the training. flush: tokens after which a task hands on counts."""
+    sent to tasks. groups, slots: most groups of other words, and most rows that stand for them as context; a group has about
+    `fill` words while there are fewer groups. dim, noise, batch, rate, heavy, rounds: of the training; near: noise words of a
+    word's own bucket. flush: tokens after which a task hands on counts."""
 
     classes: int = 512
     head: int = 131_072
+    groups: int = 1024
+    fill: int = 1024
+    slots: int = 16_384
     dim: int = 24
     noise: int = 64
+    near: int = 8
     batch: int = 256
     rate: float = 0.3
     heavy: int = 32
@@ -106,13 +116,19 @@ class Tables:
 
     keys: np.ndarray
     counts: np.ndarray
-    cls: np.ndarray  # class of each head word; 0: the class of other words
-    n_classes: int  # other words 0, words 1..K, end K + 1; the text's beginning, a context only, is K + 2
+    cls: np.ndarray  # class of each head word; below `groups`: its group
+    n_classes: int  # G groups 0..G - 1, words G..G + K - 1, end G + K; the text's beginning, a context only, is G + K + 1
     total: int  # training tokens, ends included
     distinct: int  # distinct training tokens, the end included
     ends: int
-    rare: float  # smoothed mass of the class of other words, the unseen word included
+    rare: float  # smoothed mass of the groups, their unseen words included
     unigram: np.ndarray  # smoothed class probabilities
+    groups: int = 1
+    slots: int = 0  # rows for words of groups as contexts, after the beginning's
+
+    @property
+    def contexts(self) -> int:
+        return self.n_classes + 1 + self.slots
 
 
 def _head(counts: DataFrame, distinct: int, most: int) -> DataFrame:
@@ -131,55 +147,97 @@ def _head(counts: DataFrame, distinct: int, most: int) -> DataFrame:
 def tables(counts: DataFrame, n_texts: int, p: LmParams) -> Tables:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     top = _head(counts, int(distinct), p.head).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    by_count = np.arange(len(top))
     keys, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    cls = np.where(by_count < p.classes, by_count + 1, 0)
     order = np.argsort(keys)
     k = min(p.classes, len(top))
-    in_classes = int(c[:k].sum())
-    rare = (total - in_classes) + ALPHA * (distinct - k + 1)
-    uni = np.concatenate(([rare], c[:k] + ALPHA, [n_texts + ALPHA]))
-    return Tables(keys[order], c[order], cls[order], k + 2, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts, float(rare), uni / uni.sum())
-
-
-def class_sequences(h: np.ndarray, off: np.ndarray, pos: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two context classes and the class of every token of every text, and the offsets of texts; a text of n words has n + 1 tokens."""
-    n = len(off) - 1
+    others = int(distinct) - k
+    groups = max(1, min(p.groups, -(-others // p.fill)))
+    slots = min(p.slots, 1 << max(1, others).bit_length())
+    cls = np.where(np.arange(len(top)) < k, groups + np.arange(len(top)), group_of(keys, groups))
+    # Sums of counts and numbers of words by group (groups rows), less those of words with a class of their own.
+    mass, words = np.zeros(groups), np.zeros(groups)
+    for g, n, w in counts.groupBy(F.expr(GROUP.format(groups)).alias("g")).agg(F.sum("c"), F.count("*")).collect():
+        mass[g], words[g] = n, w
+    own = group_of(keys[:k], groups)
+    mass -= np.bincount(own, c[:k], groups)
+    words -= np.bincount(own, None, groups)
+    mass += ALPHA * (words + 1)
+    uni = np.concatenate((mass, c[:k] + ALPHA, [n_texts + ALPHA]))
+    return Tables(keys[order], c[order], cls[order], groups + k + 1, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts, float(mass.sum()), uni / uni.sum(), groups, slots)
+
+
+#: The group of a word hash, in SQL and in numpy.
+GROUP = "cast((h & 9223372036854775807) % {} as int)"
+
+
+def group_of(h: np.ndarray, groups: int) -> np.ndarray:
+    return ((h & np.uint64((1 << 63) - 1)) % np.uint64(groups)).astype(np.int64)
+
+
+def sequences(h: np.ndarray, off: np.ndarray, pos: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two words before each token of every text as one code of four context rows, the token's class, where the words are
+    among the tokens, and the offsets of texts; a text of n words has n + 1 tokens."""
+    n, m, rows = len(off) - 1, t.n_classes, t.contexts
     out_off = off + np.arange(n + 1)
-    w = np.full(int(out_off[-1]), t.n_classes - 1, np.int64)
+    w = np.full(int(out_off[-1]), m - 1, np.int64)
+    one = np.full(len(w), (m - 1) * (rows + 1), np.int64)
+    at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(off))
     if len(h):
-        at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(off))
-        w[at] = np.where(pos >= 0, t.cls[np.maximum(pos, 0)] if len(t.cls) else 0, 0)
-    begin = t.n_classes
+        cls = np.where(pos >= 0, t.cls[np.maximum(pos, 0)] if len(t.cls) else 0, group_of(h, t.groups))
+        slot = [m + 1 + ((h >> np.uint64(s)) & np.uint64(t.slots - 1)).astype(np.int64) for s in (34, 49)]
+        w[at] = cls
+        one[at] = np.where(cls < t.groups, slot[0] * rows + slot[1], cls * (rows + 1))
+    begin = m * (rows + 1)
     a, b = np.full(len(w), begin), np.full(len(w), begin)
-    a[1:] = w[:-1]
-    b[2:] = w[:-2]
+    a[1:] = one[:-1]
+    b[2:] = one[:-2]
     a[out_off[:-1]] = begin
     b[out_off[:-1]] = begin
     second = out_off[:-1] + 1
     second = second[second < out_off[1:]]
     b[second] = begin
-    return a, b, w, out_off
+    return a * rows**2 + b, w, at, out_off
+
+
+def rows_of(code: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The four context rows of a code: two of the word before, two of the one before that."""
+    n = t.contexts
+    return code // n**3, code // n**2 % n, code // n % n, code % n
+
 
+def context(theta: np.ndarray, code: np.ndarray, t: Tables, dim: int) -> np.ndarray:
+    """C1 * r_a + C2 * r_b of each code."""
+    a1, a2, b1, b2 = rows_of(code, t)
+    r = theta[:, :dim]
+    return (r[a1] + r[a2]) * (r[-2] / 2) + (r[b1] + r[b2]) * (r[-1] / 2)
 
-# Parameters: one array of rows; r (contexts, one more for the beginning), q (classes, the last column is the bias), C1, C2.
+
+# Parameters: one array of rows; r (contexts: classes, the beginning, slots), q (classes, the last column is the bias), C1, C2.
 def initial(t: Tables, p: LmParams) -> np.ndarray:
     rng = np.random.default_rng(7)
-    m = t.n_classes
-    theta = np.zeros((2 * m + 3, p.dim + 1))
-    theta[: m + 1, : p.dim] = rng.normal(0, 0.3, (m + 1, p.dim))
-    theta[m + 1 : 2 * m + 1, : p.dim] = rng.normal(0, 0.05, (m, p.dim))
-    theta[m + 1 : 2 * m + 1, p.dim] = np.log(t.unigram)
-    theta[2 * m + 1, : p.dim], theta[2 * m + 2, : p.dim] = 1.0, 0.5
+    m, n = t.n_classes, t.contexts
+    theta = np.zeros((n + m + 2, p.dim + 1))
+    theta[:n, : p.dim] = rng.normal(0, 0.3, (n, p.dim))
+    theta[n : n + m, : p.dim] = rng.normal(0, 0.05, (m, p.dim))
+    theta[n : n + m, p.dim] = np.log(t.unigram)
+    theta[n + m, : p.dim], theta[n + m + 1, : p.dim] = 1.0, 0.5
     return theta
 
 
-def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """to[rows] += values with repeated rows, by sorting and segment sums."""
+def _climb(theta: np.ndarray, square: np.ndarray, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
+    """AdaGrad on the given rows; values of repeated rows are added up, by sorting and segment sums."""
     order = np.argsort(rows, kind="stable")
     r = rows[order]
     cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    to[r[cut]] += np.add.reduceat(values[order], cut, axis=0)
+    r, g = r[cut], np.add.reduceat(values[order], cut, axis=0)
+    square[r] += g * g
+    theta[r] += rate * g / np.sqrt(square[r])
+
+
+def _pull(ctx: np.ndarray, true: np.ndarray, log_kq: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """NCE's pull on the true rows' scores."""
+    d = ctx.shape[1]
+    return weight / (1 + np.exp(np.clip((ctx * true[:, :d]).sum(1) + true[:, d] - log_kq, -30, 30)))
 
 
 class Nce:
@@ -192,7 +250,7 @@ class Nce:
         self.log_kq = np.log(p.noise * t.unigram)
         self.cdf = np.cumsum(t.unigram)
 
-    def epoch(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
+    def epoch(self, code: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
         """One pass over all triples; those seen often are split into several entries, so that a minibatch doesn't hang on one of them."""
         pieces = -(-weight // self.p.heavy).astype(np.int64)
         order = self.rng.permutation(np.repeat(np.arange(len(w)), pieces))
@@ -200,29 +258,100 @@ class Nce:
         mean = share[order].mean()
         for s in range(0, len(order), self.p.batch):
             k = order[s : s + self.p.batch]
-            self.step(a[k], b[k], w[k], share[k] / (mean * len(k)))
+            self.step(code[k], w[k], share[k] / (mean * len(k)))
 
-    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
-        m, d = self.t.n_classes, self.p.dim
+    def step(self, code: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
+        n, m, d = self.t.contexts, self.t.n_classes, self.p.dim
         th = self.theta
-        q, c1, c2 = th[m + 1 : 2 * m + 1], th[2 * m + 1, :d], th[2 * m + 2, :d]
-        ra, rb = th[a, :d], th[b, :d]
+        a1, a2, b1, b2 = rows_of(code, self.t)
+        c1, c2 = th[-2, :d], th[-1, :d]
+        ra, rb = (th[a1, :d] + th[a2, :d]) / 2, (th[b1, :d] + th[b2, :d]) / 2
         ctx = ra * c1 + rb * c2
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(self.p.noise)), m - 1)
-        qw, qn = q[w], q[noise]
-        up = (ctx * qw[:, :d]).sum(1) + qw[:, d] - self.log_kq[w]
+        qw, qn = th[n + w], th[n + noise]
         un = ctx @ qn[:, :d].T + qn[:, d] - self.log_kq[noise]
-        gp = weight / (1 + np.exp(np.clip(up, -30, 30)))  # pulls the true class up
+        gp = _pull(ctx, qw, self.log_kq[w], weight)  # pulls the true class up
         gn = -weight[:, None] / (1 + np.exp(-np.clip(un, -30, 30)))  # pushes the noise down
-        grad = np.zeros_like(th)
         gctx = gp[:, None] * qw[:, :d] + gn @ qn[:, :d]
-        _add(grad[m + 1 : 2 * m + 1], np.concatenate([w, noise]), np.concatenate([np.column_stack([gp[:, None] * ctx, gp]), np.column_stack([gn.T @ ctx, gn.sum(0)])]))
-        _add(grad[: m + 1, :d], np.concatenate([a, b]), np.concatenate([gctx * c1, gctx * c2]))
-        grad[2 * m + 1, :d] = (gctx * ra).sum(0)
-        grad[2 * m + 2, :d] = (gctx * rb).sum(0)
-        grad *= len(w) ** 0.5
-        self.square += grad * grad
-        th += self.p.rate * grad / np.sqrt(self.square)
+        ga, gb = gctx * (c1 / 2), gctx * (c2 / 2)
+        r = np.concatenate([ga, ga, gb, gb, [(gctx * ra).sum(0), (gctx * rb).sum(0)]])
+        rows = np.concatenate([a1, a2, b1, b2, [n + m, n + m + 1], n + w, n + noise])
+        values = np.concatenate([np.column_stack([r, np.zeros(len(r))]), np.column_stack([gp[:, None] * ctx, gp]), np.column_stack([gn.T @ ctx, gn.sum(0)])])
+        _climb(th, self.square, rows, values * len(w) ** 0.5, self.p.rate)
+
+
+class Group:
+    """The words of one group: buckets of like frequency, and a vector and a bias for each bucket and each word."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, p: LmParams, seed: int):
+        order = np.argsort(h)
+        self.keys, self.counts, self.p, self.rng = h[order], np.append(c[order], 0), p, np.random.default_rng(seed)
+        n = len(h) + 1  # the last: the unseen word
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((np.arange(n), -self.counts))] = np.arange(n)
+        self.rank, self.width = rank, math.isqrt(n - 1) + 1
+        mass = np.empty(n)
+        mass[rank] = self.counts + ALPHA
+        self.starts = np.arange(0, n, self.width)
+        whole = np.add.reduceat(mass, self.starts)
+        share = mass / np.repeat(whole, np.diff(np.append(self.starts, n)))
+        self.cdf = np.concatenate(([0.0], np.cumsum(mass / mass.sum())))
+        self.log_kb, self.log_kw = np.log(p.noise * whole / whole.sum()), np.log(p.near * share)
+        self.buckets, self.words = (np.column_stack([self.rng.normal(0, 0.05, (len(x), p.dim)), np.log(x)]) for x in (whole / whole.sum(), share))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions in keys, the last for unseen words."""
+        at = np.searchsorted(self.keys, h)
+        ok = at < len(self.keys)
+        ok[ok] = self.keys[at[ok]] == h[ok]
+        return np.where(ok, at, len(self.keys))
+
+    def learn(self, ctx_of, code: np.ndarray, word: np.ndarray) -> None:
+        """Rounds of NCE: at the buckets against buckets, at the words against words of the same bucket."""
+        p, d = self.p, self.p.dim
+        sb, sw = np.full_like(self.buckets, 1e-2), np.full_like(self.words, 1e-2)
+        last = np.append(self.starts[1:], len(self.words))
+        for _ in range(p.rounds):
+            order = self.rng.permutation(len(code))
+            for s in range(0, len(order), p.batch):
+                k = order[s : s + p.batch]
+                ctx, w = ctx_of(code[k]), word[k]
+                b, weight, scale = w // self.width, np.full(len(k), 1 / len(k)), len(k) ** 0.5
+                noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise), "right") - 1, len(self.words) - 1) // self.width
+                qn = self.buckets[noise]
+                gn = -weight[:, None] / (1 + np.exp(-np.clip(ctx @ qn[:, :d].T + qn[:, d] - self.log_kb[noise], -30, 30)))
+                gp = _pull(ctx, self.buckets[b], self.log_kb[b], weight)
+                _climb(self.buckets, sb, np.concatenate([b, noise]), scale * np.concatenate([np.column_stack([gp[:, None] * ctx, gp]), np.column_stack([gn.T @ ctx, gn.sum(0)])]), p.rate)
+                lo, hi = self.cdf[self.starts[b]], self.cdf[last[b]]
+                near = np.searchsorted(self.cdf, lo[:, None] + self.rng.random((len(k), p.near)) * (hi - lo)[:, None], "right") - 1
+                near = np.clip(near, self.starts[b][:, None], last[b][:, None] - 1)
+                qn = self.words[near]
+                gn = -weight[:, None] / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", ctx, qn[:, :, :d]) + qn[:, :, d] - self.log_kw[near], -30, 30)))
+                gp = _pull(ctx, self.words[w], self.log_kw[w], weight)
+                far = np.concatenate([gn[:, :, None] * ctx[:, None, :], gn[:, :, None]], axis=2).reshape(-1, d + 1)
+                _climb(self.words, sw, np.concatenate([w, near.ravel()]), scale * np.concatenate([np.column_stack([gp[:, None] * ctx, gp]), far]), p.rate)
+
+    def log_p(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of words, given their group."""
+        b = word // self.width
+        out = picked(ctx, self.buckets, b)
+        order = np.argsort(b, kind="stable")
+        cut = np.searchsorted(b[order], np.arange(len(self.buckets) + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            i, at = order[cut[k] : cut[k + 1]], self.starts[k]
+            out[i] += picked(ctx[i], self.words[at : at + self.width], word[i] - at)
+        return out
+
+
+def picked(ctx: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log softmax(ctx . q + bias) at w, in natural logarithms, a slice of tokens at a time."""
+    q, out = q.astype(np.float32), np.empty(len(w))
+    for s in range(0, len(w), 2048):
+        x = ctx[s : s + 2048].astype(np.float32) @ q[:, :-1].T + q[:, -1]
+        x -= x.max(1)[:, None]
+        mine = x[np.arange(len(x)), w[s : s + 2048]]
+        out[s : s + 2048] = mine - np.log(np.exp(x).sum(1))
+    return out
 
 
 def train(texts: DataFrame, t: Tables, p: LmParams) -> np.ndarray:
@@ -235,17 +364,18 @@ def train(texts: DataFrame, t: Tables, p: LmParams) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rnd=rnd) -> Iterator[pa.RecordBatch]:
             theta, t = shared.value
             look, nce, seen = Lookup(t.keys), Nce(theta, t, p, 1000 + rnd), 0
-            base = t.n_classes + 1
             held: list[np.ndarray] = []
             n = 0
 
             def learn() -> None:
-                code, c = np.unique(np.concatenate(held), return_counts=True)
-                nce.epoch(code // base**2, code // base % base, code % base, c.astype(float))
+                code, w = np.concatenate(held, axis=1)
+                mixed = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                _, at, c = np.unique(mixed, return_index=True, return_counts=True)
+                nce.epoch(code[at], w[at], c.astype(float))
 
             for _, h, off in _batches(batches, 0):
-                a, b, w, _ = class_sequences(h, off, look(h), t)
-                held.append((a * base + b) * base + w)
+                code, w, _, _ = sequences(h, off, look(h), t)
+                held.append(np.stack([code, w]))
                 n += len(w)
                 if n >= p.flush:
                     learn()
@@ -253,25 +383,27 @@ def train(texts: DataFrame, t: Tables, p: LmParams) -> np.ndarray:
             if n:
                 learn()
                 seen += n
-            if seen:
-                rows = pa.array((nce.theta * seen).tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta))), pa.array(np.full(len(theta), float(seen))), rows], names=["row", "n", "v"])
+            if seen:  # only rows that moved
+                k = np.flatnonzero((nce.theta != theta).any(1))
+                rows = pa.array((nce.theta[k] * seen).tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), float(seen))), rows], names=["row", "n", "v"])
 
         sent = texts.select("text").mapInArrow(run, "row long, n double, v array<double>")
         mean = sent.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(p.dim + 1)])
         got = mean.toPandas().sort_values("row")
         if len(got):
-            theta = got[[f"v{j}" for j in range(p.dim + 1)]].to_numpy() / got[["n"]].to_numpy()
+            theta = theta.copy()
+            theta[got["row"].to_numpy()] = got[[f"v{j}" for j in range(p.dim + 1)]].to_numpy() / got[["n"]].to_numpy()
         shared.unpersist()
     return theta
 
 
 def normalised(theta: np.ndarray, t: Tables, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(near, far, log_z): score(w | a, b) = near[a, w] + far[b, w] - log_z[a, b], in natural logarithms, from batched matrix products."""
-    m, d = t.n_classes, p.dim
-    r, q, bias = theta[: m + 1, :d], theta[m + 1 : 2 * m + 1, :d], theta[m + 1 : 2 * m + 1, d]
-    near, far = (r * theta[2 * m + 1, :d]) @ q.T + bias, (r * theta[2 * m + 2, :d]) @ q.T
-    log_z = np.empty((m + 1, m + 1))
+    """(near, far, log_z): score(w | a, b) = near[a, w] + far[b, w] - log_z[a, b] of single context rows, in natural logarithms: all of a small model."""
+    n, m, d = t.contexts, t.n_classes, p.dim
+    r, q, bias = theta[:n, :d], theta[n : n + m, :d], theta[n : n + m, d]
+    near, far = (r * theta[n + m, :d]) @ q.T + bias, (r * theta[n + m + 1, :d]) @ q.T
+    log_z = np.empty((n, n))
     top_n, top_f = near.max(1), far.max(1)
     e_near, e_far = np.exp(near - top_n[:, None]), np.exp(far - top_f[:, None])
     log_z[:] = np.log(e_near @ e_far.T) + top_n[:, None] + top_f[None, :]
@@ -293,50 +425,92 @@ def score(docs: DataFrame, p: LmParams = LmParams(), held_out_mod: int = 10, id_
     counts = stored(word_counts(learned, p), "counts")
     t = tables(counts, learned.count(), p)
     theta = train(learned, t, p)
-    shared = spark.sparkContext.broadcast((t, *(x.astype(np.float32) for x in normalised(theta, t, p))))
+    shared = spark.sparkContext.broadcast((t, theta.astype(np.float32)))
 
     # Each row has a number of its own, so that rows which share a doc_id stay apart.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, near, far, log_z = shared.value
+        t, theta = shared.value
         look, row = Lookup(t.keys), TaskContext.get().partitionId() << 40
         down = np.log10(t.total + ALPHA * (t.distinct + 1))
         log_c = np.log10(t.counts + ALPHA)
-        log_rare = np.log10(t.rare)
+        q = theta[t.contexts : t.contexts + t.n_classes]
         for part, h, off in _batches(batches, 1):
             n = len(off) - 1
             pos = look(h)
-            a, b, w, toff = class_sequences(h, off, pos, t)
-            lp = (near[a, w] + far[b, w] - log_z[a, b]) / np.log(10)
+            code, w, place, toff = sequences(h, off, pos, t)
+            lp = picked(context(theta, code, t, p.dim), q, w) / np.log(10)
             known = pos >= 0
             at = np.repeat(np.arange(n), np.diff(off))
             share = np.where(known, log_c[np.maximum(pos, 0)] if len(log_c) else 0.0, 0.0)
-            rare = ~known | (t.cls[np.maximum(pos, 0)] == 0) if len(t.cls) else ~known
             n_words = np.diff(off)
             base = np.bincount(at, share, n) + np.log10(t.ends + ALPHA) - (n_words + 1) * down
             model = np.add.reduceat(lp, toff[:-1]) if n else np.empty(0)
-            model = model + np.bincount(at[rare], share[rare], n) - np.bincount(at[rare], None, n) * log_rare
-            # Words outside the head go on as (hash, times): their counts are joined.
-            cell, times = np.unique(np.stack([at[~known].astype(np.uint64), h[~known]]), axis=1, return_counts=True) if (~known).any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
-            cut = np.searchsorted(cell[0], np.arange(n + 1)).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(cell[1].view(np.int64)))
-            many = pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))
+            # Words of groups go on as (hash, contexts): their group scores them, and gives the counts of those outside the head.
+            other = w[place] < t.groups
+            cut = np.searchsorted(at[other], np.arange(n + 1)).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[other].view(np.int64)))
+            before = pa.ListArray.from_arrays(pa.array(cut), pa.array(code[place[other]]))
+            outside = pa.ListArray.from_arrays(pa.array(cut), pa.array(~known[other]))
             ids = pa.array(np.arange(row, row + n))
             row += n
-            yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(2), pa.array(n_words + 1), pa.array(np.bincount(at[known], None, n).astype(np.int64) + int(t.ends > 0)), pa.array(base), pa.array(model), tail, many], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "times"])
+            yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(2), pa.array(n_words + 1), pa.array(np.bincount(at[known], None, n).astype(np.int64) + int(t.ends > 0)), pa.array(base), pa.array(model), tail, before, outside], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "before", "outside"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    first = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<int>"), "scored")
-    tail = first.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("k"))
-    more = tail.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("logs"))
+    first = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, before array<long>, outside array<boolean>"), "scored")
+    tail = first.select("row", "held_out", F.explode(F.arrays_zip("tail", "before", "outside")).alias("x"))
+    group = F.expr(GROUP.format(t.groups))
+    asked = tail.select(F.col("x.tail").alias("h"), F.col("x.before").alias("v"), "row", (F.col("held_out").cast("int") + F.col("x.outside").cast("int") * 2).cast("byte").alias("kind"))
+    with_class = spark.createDataFrame(pa.table({"h": pa.array(t.keys[t.cls >= t.groups].view(np.int64), pa.int64())}))
+    own = counts.join(F.broadcast(with_class), "h", "left_anti").select("h", F.col("c").alias("v"), F.lit(-1).cast("long").alias("row"), F.lit(0).cast("byte").alias("kind"))
+    dealt = own.unionByName(asked).withColumn("g", group).repartition("g").sortWithinPartitions("g")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, theta = shared.value
+        ctx_of = lambda code: context(theta, code, t, p.dim)
+
+        def done(g: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            h, v, row, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            vocab = row < 0
+            one = Group(h[vocab].view(np.uint64), v[vocab], p, g)
+            at, v, row, kind = one.find(h[~vocab].view(np.uint64)), v[~vocab], row[~vocab], kind[~vocab]
+            word = one.rank[at]
+            order = np.lexsort((row, word, v))
+            code, word, at, row, kind = v[order], word[order], at[order], row[order], kind[order]
+            taught = kind % 2 == 0
+            one.learn(ctx_of, code[taught], word[taught])
+            lp = np.concatenate([one.log_p(ctx_of(code[s : s + 65_536]), word[s : s + 65_536]) for s in range(0, len(code), 65_536)] or [np.empty(0)]) / np.log(10)
+            outside = kind >= 2
+            logs, known = np.where(outside, np.log10(one.counts[at] + ALPHA), 0.0), outside & (at < len(one.keys))
+            u, to = np.unique(row, return_inverse=True)
+            sums = [np.bincount(to, x, len(u)) for x in (lp, logs, known)]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int32))], names=["row", "lp", "logs", "known"])
+
+        now, parts = -1, []
+        for batch in batches:
+            g, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            cut = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if a == b:
+                    continue
+                if g[a] != now and parts:
+                    yield done(now, parts)
+                now = int(g[a])
+                parts.append(tuple(c[a:b] for c in cols))
+        if parts:
+            yield done(now, parts)
+
+    spoken = dealt.select("g", "h", "v", "row", "kind").mapInArrow(words, "row long, lp double, logs double, known int")
+    more = spoken.groupBy("row").agg(F.sum("lp").alias("lp"), F.sum("logs").alias("logs"), F.sum("known").alias("known"))
     n_train = F.lit(t.total).cast("long")
-    return first.drop("tail", "times").join(more, "row", "left").select(
+    return first.drop("tail", "before", "outside").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         n_train.alias("train_tokens"),
         (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("lp", F.lit(0.0))).alias("score"),
     )

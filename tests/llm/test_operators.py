@@ -242,6 +242,31 @@ def test_lm_is_normalised():
     assert np.allclose(total, 1)
 
 
+def test_lm_words_without_a_class_depend_on_context_and_serve_as_context(spark):
+    """Pairs `ka va` ... of words outside the classes: a held-out text keeps or breaks the pairs, with the same words."""
+    import numpy as np
+
+    r = random.Random(16)
+    pairs = [(f"k{i}", f"v{i}") for i in range(40)]
+    rows = [(i, " ".join(f"the {a} {b}" for a, b in r.sample(pairs, 12))) for i in range(600)]
+    out = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 10 == 0][:20]
+    kept, broken = out[::2], out[1::2]
+    for i, j in zip(kept, broken, strict=True):
+        some = r.sample(pairs, 12)
+        rows += [(i, " ".join(f"the {a} {b}" for a, b in some)), (j, " ".join(f"the {some[k][0]} {some[k - 1][1]}" for k in range(12)))]
+    p = lm.LmParams(classes=1, fill=16, batch=64, rounds=3)
+    by = {x["doc_id"]: x for x in lm.score(frame(spark, rows), p).collect()}
+    for i, j in zip(kept, broken, strict=True):
+        assert by[i]["base_score"] == pytest.approx(by[j]["base_score"]) and by[i]["score"] > by[j]["score"] + 1
+    # Classes, and the words of a group with its unseen word, each have probabilities that add up to one.
+    t = lm.tables(lm.word_counts(frame(spark, rows).select("text"), p), len(rows), p)
+    assert t.groups == 5 and t.n_classes == 7 and t.unigram.sum() == pytest.approx(1)
+    g = lm.Group(np.arange(1, 31, dtype=np.uint64), np.arange(1, 31), p, 0)
+    ctx = np.random.default_rng(1).normal(size=(1, p.dim)).repeat(31, 0)
+    g.learn(lambda k: ctx[k], np.arange(31), np.arange(31))
+    assert np.exp(g.log_p(ctx, np.arange(31))).sum() == pytest.approx(1, abs=1e-5)
+
+
 # --- 1 and 2
 
 
