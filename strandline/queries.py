@@ -305,12 +305,12 @@ def q_duplex(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("primer_site_tm")
 def q_site_tm(spark: SparkSession, sf: str) -> DataFrame:
-    return search.binds(genome(spark, sf), pruned(spark, sf), SearchOptions(distance=0, hamming=True))
+    return search.binds(genome(spark, sf), primers(spark, sf), SearchOptions(distance=0, hamming=True, max_matches=None))
 
 
 @registered("insilico_pcr")
 def q_pcr(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(genome(spark, sf), pruned(spark, sf), SearchOptions(distance=0, hamming=True, max_product=1000))[1].select("chrom_id", "for_primer_id", "rev_primer_id", "for_pos", "rev_pos", "product_length", "for_tm", "rev_tm", "penalty", "seq")
+    return search.search(genome(spark, sf), primers(spark, sf), SearchOptions(distance=0, hamming=True, max_matches=None, max_product=1000))[1].select("chrom_id", "for_primer_id", "rev_primer_id", "for_pos", "rev_pos", "product_length", "for_tm", "rev_tm", "penalty", "seq")
 
 
 @registered("amplicon_join", f"with {AMPS} select chrom_id, for_id, rev_id, for_pos, rev_pos, product_length from am")

@@ -166,3 +166,22 @@ def test_search_finds_a_product(spark):
     got = [r for r in products.collect() if r["for_pos"] == 100 and r["rev_pos"] == 400]
     assert len(got) == 1 and got[0]["seq"] == seq[100:420] and got[0]["product_length"] == 320
     assert got[0]["for_tm"] == pytest.approx(got[0]["for_match_tm"], abs=1e-6)
+
+
+def test_repeated_primers_are_not_left_out(spark, tmp_path):
+    """A primer with more sites than primer_prune lets pass binds at all of them, and each makes its product."""
+    from strandline.queries import QUERIES
+
+    random.seed(8)
+    seq = "".join(random.choice("ACGT") for _ in range(400))
+    spark.createDataFrame([(k, seq) for k in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for k in range(12):
+        p = (k * 31) % 200
+        want |= {(2 * k, True, c, p) for c in range(12)} | {(2 * k + 1, False, c, p + 150) for c in range(12)}
+    sites = {(r["primer_id"], r["on_forward"], r["chrom_id"], r["pos"]) for r in QUERIES["primer_site_tm"](spark, str(tmp_path)).collect()}
+    assert sites >= want
+    pairs = {(f[2], f[0], r[0], f[3], r[3]) for f in sites for r in sites if f[1] and not r[1] and f[2] == r[2] and r[3] > f[3] and r[3] + 20 - f[3] <= 1000}
+    got = QUERIES["insilico_pcr"](spark, str(tmp_path)).collect()
+    assert {(r["chrom_id"], r["for_primer_id"], r["rev_primer_id"], r["for_pos"], r["rev_pos"]) for r in got} == pairs and len(got) == len(pairs)
+    assert all(r["seq"] == seq[r["for_pos"] : r["rev_pos"] + 20] for r in got)
