@@ -185,3 +185,17 @@ def test_repeated_primers_are_not_left_out(spark, tmp_path):
     got = QUERIES["insilico_pcr"](spark, str(tmp_path)).collect()
     assert {(r["chrom_id"], r["for_primer_id"], r["rev_primer_id"], r["for_pos"], r["rev_pos"]) for r in got} == pairs and len(got) == len(pairs)
     assert all(r["seq"] == seq[r["for_pos"] : r["rev_pos"] + 20] for r in got)
+
+
+def test_operators_take_every_row_and_whole_sequences(spark, tmp_path):
+    from strandline.queries import QUERIES
+
+    random.seed(9)
+    texts = ["".join(random.choice("ACGT") for _ in range(n)) for n in (18, 26, 60, 99, 100, 300, 17, 0)]
+    spark.createDataFrame([(10 * k + k % 2, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {10 * k + k % 2 for k in range(6)}
+    got = {r["query_id"]: r for r in QUERIES["pairwise_align"](spark, str(tmp_path)).collect()}
+    assert set(got) == ids and all(r["score"] == 0 and len(r["queryalign"]) == 18 for r in got.values())
+    assert {r["query_id"] for r in QUERIES["edit_neighbors_minimal"](spark, str(tmp_path)).select("query_id").distinct().collect()} == ids
+    hits = QUERIES["edit_hunt_align"](spark, str(tmp_path)).filter("distance = 0").collect()
+    assert {r["query_id"] for r in hits} == {i for i in ids if i % 10 == 0}
