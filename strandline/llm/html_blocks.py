@@ -29,13 +29,15 @@ from .common import with_columns
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is markup or code, never text of the page.
-SKIP = frozenset("script style noscript template svg math iframe object title textarea select canvas audio video".split())
+SKIP = frozenset("script style noscript template svg iframe object title textarea select canvas audio video".split())
 _CLOSES_P = BLOCK - {"body", "html", "head", "button", "label", "option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table td th div section article aside body main".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Of these, HTML takes all text to the page's end where the end tag is missing.
+_RAW = frozenset("script style noscript iframe title textarea".split())
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in SKIP}
 
 
@@ -74,7 +76,7 @@ def leaves(page: str | None) -> list[Leaf]:
                 flush()
         del stack[k:], path[k + 1 :]
 
-    at = 0
+    at, unclosed = 0, set()
     for m in _TAG.finditer(page):
         begin = m.start()
         if begin < at:
@@ -102,8 +104,13 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if name in SKIP:
             if not m[3].endswith("/"):
-                end = _END[name].search(page, at)
-                at = end.end() if end else len(page)
+                end = None if name in unclosed else _END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in _RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
             if parts and name in BLOCK:
                 flush()
             continue

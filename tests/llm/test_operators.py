@@ -321,6 +321,14 @@ def test_html_leaves():
     assert html_blocks.leaves(None) == [] and html_blocks.leaves("<p> </p>") == []
 
 
+def test_html_unclosed_tags_and_math_keep_text():
+    for tag in ("svg", "object", "video", "audio", "canvas", "select", "template"):
+        assert [x.text for x in html_blocks.leaves(f"<p>one</p><{tag}><p>two</p>")] == ["one", "two"]
+        assert [x.text for x in html_blocks.leaves(f"<p>one</p><{tag}>no</{tag}><p>two</p>")] == ["one", "two"]
+    assert [x.text for x in html_blocks.leaves("<p>one</p><script><p>two</p>")] == ["one"]
+    assert [x.text for x in html_blocks.leaves("<p>so <math><mi>x</mi>=<mn>2</mn></math> holds</p>")] == ["so x=2 holds"]
+
+
 def test_html_gradient():
     import numpy as np
 
