@@ -6,7 +6,8 @@ position by position on the hit's diagonal. A document is contaminated where a w
 at least `percent` of the positions (the whole item, if it is shorter).
 
 Either default mask finds every window of 13 tokens with up to two substitutions, wherever they are; so at 80 percent no
-window is missed. Tokens are runs of letters and digits of the lower-cased text.
+window is missed. Shorter items are cut into one piece more than substitutions are allowed, so that one piece is intact, and
+pieces are seeds like masks; so these are exact, down to items of one token. Tokens are runs of letters and digits of the lower-cased text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _seeds(h: str, mask: tuple[int, ...]) -> Column:
     """The masked hashes of all windows of an array of token hashes, by window; of one shorter than the mask, none."""
     span = mask[-1] + 1
     at = F.sequence(F.lit(1), F.size(h) - span + 1)
-    return F.when(F.size(h) >= span, F.transform(at, lambda i: F.xxhash64(F.lit(span * 100 + mask[2]), *[F.element_at(h, i + o) for o in mask]))).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(h) >= span, F.transform(at, lambda i: F.xxhash64(F.lit(span * 100 + mask[min(2, span - 1)]), *[F.element_at(h, i + o) for o in mask]))).otherwise(F.array().cast("array<long>"))
 
 
 def seeds(hashed: DataFrame, key: str, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
@@ -40,17 +41,35 @@ def seeds(hashed: DataFrame, key: str, masks: tuple[tuple[int, ...], ...] = MASK
     return per_mask.select(key, F.posexplode("of_mask").alias("pos", "seed"))
 
 
+def pieces(n: int, percent: int) -> list[tuple[int, int]]:
+    """(from, to) of the pieces of an item of n tokens: one of them is intact wherever at least `percent` of the tokens agree."""
+    k = max(1, n - max(0, -(-n * percent // 100)) + 1)
+    k = min(k, n)
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
+
+
+def _item_seeds(items: DataFrame, span: int, percent: int, masks: tuple[tuple[int, ...], ...]) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """(item_id, pos, seed) of all items, and the masks of the pieces of items shorter than span."""
+    out, more = seeds(items.filter(F.size("h") >= span), "item_id", masks), set()
+    for (n,) in items.select(F.size("h")).distinct().filter(F.col("size(h)").between(1, span - 1)).collect():  # fewer than span rows
+        for a, b in pieces(n, percent):
+            mask = tuple(range(b - a))
+            more.add(mask)
+            out = out.unionByName(items.filter(F.size("h") == n).withColumn("piece", F.slice("h", a + 1, b - a)).select("item_id", F.lit(a).alias("pos"), F.explode(_seeds("piece", mask)).alias("seed")))
+    return out, sorted(more)
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, span: int = 13, percent: int = 80, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, matched, compared, item_tokens): each document and item that overlap, once, at the best window.
 
-    doc_start and item_start number tokens from 0. Null texts count as empty; documents and items with fewer tokens than a mask
-    spans have no windows and never match. Rows that share a doc_id (or item_id) are each compared and reported under it
+    doc_start and item_start number tokens from 0. Null texts count as empty; items without a token never match. Rows that share a doc_id (or item_id) are each compared and reported under it
     together; null ids are dropped. Other columns are ignored. An empty side gives an empty result.
     """
     items = stored(bench.select("item_id", tokens(F.col("text")).alias("h")).filter("item_id is not null").distinct(), "items")
-    item_seeds = stored(seeds(items, "item_id", masks).select("seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "seeds")
+    of_items, short = _item_seeds(items, span, percent, masks)
+    item_seeds = stored(of_items.select("seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "seeds")
     small = item_seeds.count() <= BROADCAST_SEEDS
-    of_docs = seeds(docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("h")), "doc_id", masks)
+    of_docs = seeds(docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("h")), "doc_id", (*masks, *short))
     hits = of_docs.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     lines = stored(hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).count().select("doc_id", "item_id", "diagonal"), "lines")
     # Only documents with a hit are read again; their lines come along as one array.

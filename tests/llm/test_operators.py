@@ -145,6 +145,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    import itertools
+
+    items = [(n, [f"i{n}t{k}" for k in range(n)]) for n in range(1, 13)]
+    rows, want = [], set()
+    for n, item in items:
+        for s in range(n - -(-n * 80 // 100) + 2):
+            for gone in itertools.combinations(range(n), s):
+                rows.append((len(rows), " ".join(["before", *("zz" if k in gone else w for k, w in enumerate(item)), "after"])))
+                if (n - s) * 100 >= 80 * n:
+                    want.add((len(rows) - 1, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items] + [(99, "")], "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
 # --- 9
 
 
