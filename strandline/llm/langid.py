@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,13 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangParams:
     """top: n-grams in a profile. sample: about how many documents of a language the profile is counted on. reach: similarity below
-    which a text is no language that was learned (only `keep_known` asks)."""
+    which a text is never in a language that was learned; slack, enough: see `reaches` (only `keep_known` asks)."""
 
     top: int = 400
     sample: int = 3000
     reach: float = 0.02
+    slack: float = 0.9
+    enough: int = 30
 
 
 _letter: list[np.ndarray] = []
@@ -152,8 +154,43 @@ def identify(docs: DataFrame, p: LangParams = LangParams(), held_out_mod: int =
     return _identified(docs, learn(docs.filter("not held_out"), p), p, "lang_pred", "score")
 
 
+def _length() -> Column:
+    """Texts by length: the whole part of log2 of the characters."""
+    return F.floor(F.log2(F.greatest(F.length(F.col("__lang_text")), F.lit(1)))).cast("int")
+
+
+def reaches(scored: DataFrame, p: LangParams) -> dict[str, tuple[float, dict[int, float]]]:
+    """language -> (its least, length -> least) of the scores of scored training rows (__lang_pred, __lang_score, __lang_text), times p.slack.
+
+    A length counts with its two neighbours; one with fewer than p.enough rows has the language's least.
+    """
+    got = scored.filter(F.col("__lang_pred") != UNKNOWN).groupBy("__lang_pred", _length().alias("size")).agg(F.min("__lang_score").alias("least"), F.count("*").alias("n")).collect()
+    by: dict[str, dict[int, tuple[float, int]]] = {}
+    for r in got:  # languages x lengths rows
+        by.setdefault(r["__lang_pred"], {})[r["size"]] = (r["least"], r["n"])
+    out = {}
+    for lang, sizes in by.items():
+        some = {}
+        for k in sizes:
+            near = [sizes[j] for j in (k - 1, k, k + 1) if j in sizes]
+            if sum(n for _, n in near) >= p.enough:
+                some[k] = max(p.reach, p.slack * min(x for x, _ in near))
+        out[lang] = (max(p.reach, p.slack * min(x for x, _ in sizes.values())), some)
+    return out
+
+
 def keep_known(docs: DataFrame, p: LangParams = LangParams(), held_out_mod: int = 5) -> DataFrame:
-    """The rows of docs whose text is in a language that was learned; rejected are texts without a letter and texts whose similarity to all profiles is below p.reach."""
+    """The rows of docs whose text is in a language that was learned; rejected are texts without a letter and texts less similar to
+    their language than the training rows of like length."""
     train = docs.filter(~held_out(F.col("doc_id"), held_out_mod))
-    out = _identified(docs, learn(train, p), p, "__lang_pred", "__lang_score")
-    return out.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= p.reach)).select(*docs.columns)
+    profiles = learn(train, p)
+    scored = _identified(docs.withColumn("__lang_text", F.col("text").cast("string")), profiles, p, "__lang_pred", "__lang_score")
+    taught = F.col("text").isNotNull() & F.col("lang").isNotNull()
+    found = reaches(scored.filter(~held_out(F.col("doc_id"), held_out_mod) & taught), p)
+    least = F.lit(p.reach)
+    for lang, (whole, some) in sorted(found.items()):
+        of = F.lit(whole)
+        for k, x in sorted(some.items()):
+            of = F.when(_length() == k, x).otherwise(of)
+        least = F.when(F.col("__lang_pred") == lang, of).otherwise(least)
+    return scored.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).select(*docs.columns)

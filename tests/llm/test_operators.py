@@ -328,6 +328,16 @@ def test_language_held_out(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_unlearned_language_and_gibberish_go(spark):
+    r = random.Random(10)
+    english = "the of and to in is that it was for on with as his they be at one have this from or had by word but what some we can out other were all there when up use your how said an each she which do their time if will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than call first who may down side been now find".split()
+    other = "wszystko jest dobrze gdzie przez oraz ktory jeszcze tylko byl moze wiecej czlowiek swiat zycie dzien reka oko miejsce slowo sprawa trzeba dlaczego poniewaz chociaz zawsze nigdy".split()
+    rows = [(i, prose(r, english, r.choice((8, 30, 120))), "en") for i in range(300)]
+    bad = [(1000 + k, prose(r, other, 40), None) for k in range(5)] + [(1100, "xqz qqq zzzz", None), (1101, "zzzz xqz qqq kkvw " * 20, None)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    assert sorted(x["doc_id"] for x in langid.keep_known(docs).collect()) == list(range(300))
+
+
 # --- 10
 
 
