@@ -1,23 +1,26 @@
 """A log-bilinear language model trained in numpy by noise-contrastive estimation.
 
 Corpus statistics (how often each word occurs in all training texts) are counted by Spark and may have any number of words.
-The model's classes are the most frequent words, groups of all other words (by hash; their number grows with the vocabulary),
-and the end of a text. The two words before a token predict its class: score(w | a, b) = (C1 * r_a + C2 * r_b) . q_w + bias_w,
-normalised over all classes. A group's words lie in buckets of like frequency, and every bucket and every word has a vector and
-a bias of its own: P(w | a, b) = P(group | a, b) P(bucket | group, a, b) P(w | bucket, a, b), each normalised, with one unseen
-word a group; so the token log-probabilities are normalised over the vocabulary and the unseen words. As context, a word of a
-group is the mean of two rows that its hash picks from a table, so that words share a pair of rows only by chance.
-
-Training: each task runs noise-contrastive estimation (unigram noise, shared within a minibatch) over its rows' weighted
-triples; rows of parameters are averaged by weight between rounds. What a task sends back has the size of the classes' model.
-Words in groups are trained and scored where a shuffle by group brings their tokens together; their parameters stay there.
+The two words before a token predict it: score(x | a, b) = (C1 * r_a + C2 * r_b) . q_x + bias_x, in a tree of two levels. The
+root's children are the most frequent words, clusters of further frequent words (neighbours in rank), groups of all other
+words, and the end of a text; a cluster's children are its words, a group's are leaves that a word's hash picks. Every child has
+a vector and a bias of its own, and a softmax over its siblings normalises it. Words of one leaf share it as their smoothed
+counts say, one unseen word included; so token log-probabilities are normalised over the vocabulary and the unseen words.
+Clusters and groups grow in number with the vocabulary, up to the bounds in `LmParams`. As contexts, the most frequent words have
+rows of their own and all others a row that their hash picks.
+
+Training: each task runs noise-contrastive estimation over all of its tokens (at the root, unigram noise that a minibatch
+shares; in a cluster or group, noise of its children for each token) by batched matrix products. One task first learns from a
+sample of about `LmParams.warm` tokens, so that all others start near one another; then rows of parameters are averaged,
+weighted by the updates that they got in each task. What a task sends back has the size of the model, whatever the input's. The
+result depends on how rows fall into partitions, as the averages do; the same files and settings give the same model.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +35,27 @@ ALPHA = 0.1
 
 @dataclass(frozen=True)
 class LmParams:
-    """classes: frequent words with a class of their own. head: frequent words whose counts every task holds; both bound what is
-    sent to tasks. groups, slots: most groups of other words, and most rows that stand for them as context; a group has about
-    `fill` words while there are fewer groups. dim, noise, batch, rate, heavy, rounds: of the training; near: noise words of a
-    word's own bucket. flush: tokens after which a task hands on counts."""
-
-    classes: int = 512
+    """direct: frequent words that are children of the root. clusters: most clusters of further ones; groups: most groups of other
+    words; width: children of each. head: frequent words whose counts every task holds. own, slots: contexts with rows of their
+    own, and rows for the rest. All of these bound what is sent to tasks. dim, noise, near, batch, rate, heavy, rounds: of the
+    training (near: noise children of a token's own cluster or group). warm: about how many tokens the start is learned from
+    (a sample by a hash of the id; the training itself takes all). flush: tokens that are learned from at a time."""
+
+    direct: int = 63
+    clusters: int = 160
+    groups: int = 32
+    width: int = 128
     head: int = 131_072
-    groups: int = 1024
-    fill: int = 1024
-    slots: int = 16_384
-    dim: int = 24
-    noise: int = 64
-    near: int = 8
-    batch: int = 256
-    rate: float = 0.3
-    heavy: int = 32
+    own: int = 8192
+    slots: int = 8192
+    dim: int = 15
+    noise: int = 48
+    near: int = 5
+    batch: int = 4096
+    rate: float = 0.1
+    heavy: int = 16
     rounds: int = 1
+    warm: int = 1_500_000
     flush: int = 2_000_000
 
 
@@ -112,23 +119,43 @@ class Lookup:
 
 @dataclass
 class Tables:
-    """What every task holds: the head words' hashes and counts, their classes, and the totals."""
+    """What every task holds: the head words' hashes and counts, where they are in the tree, and the totals."""
 
     keys: np.ndarray
     counts: np.ndarray
-    cls: np.ndarray  # class of each head word; below `groups`: its group
-    n_classes: int  # G groups 0..G - 1, words G..G + K - 1, end G + K; the text's beginning, a context only, is G + K + 1
+    node: np.ndarray  # child of the root of each head word
+    leaf: np.ndarray  # child of a block (cluster or group), numbered through; -1: the word is a child of the root
+    row: np.ndarray  # context row of each head word
+    direct: int
+    clusters: int
+    groups: int
+    width: int
+    own: int
+    slots: int
     total: int  # training tokens, ends included
     distinct: int  # distinct training tokens, the end included
     ends: int
-    rare: float  # smoothed mass of the groups, their unseen words included
-    unigram: np.ndarray  # smoothed class probabilities
-    groups: int = 1
-    slots: int = 0  # rows for words of groups as contexts, after the beginning's
+    node_mass: np.ndarray  # smoothed counts of the root's children, the end last
+    leaf_mass: np.ndarray  # (blocks, width), 0 for children that aren't there
+
+    @property
+    def end(self) -> int:
+        return self.direct + self.clusters + self.groups
 
     @property
-    def contexts(self) -> int:
-        return self.n_classes + 1 + self.slots
+    def begin(self) -> int:
+        return self.own + self.slots
+
+    def tail_leaf(self, h: np.ndarray) -> np.ndarray:
+        """The leaf that a word outside direct words and clusters has by its hash."""
+        return self.clusters * self.width + ((h & np.uint64((1 << 63) - 1)) % np.uint64(self.groups * self.width)).astype(np.int64)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return self.own + ((h >> np.uint64(34)) % np.uint64(self.slots)).astype(np.int64)
+
+
+#: `Tables.tail_leaf` in SQL, from the first group's first leaf.
+LEAF = "cast((h & 9223372036854775807) % {} as int)"
 
 
 def _head(counts: DataFrame, distinct: int, most: int) -> DataFrame:
@@ -148,369 +175,353 @@ def tables(counts: DataFrame, n_texts: int, p: LmParams) -> Tables:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     top = _head(counts, int(distinct), p.head).toPandas().sort_values(["c", "h"], ascending=[False, True])
     keys, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    k = min(p.classes, len(top))
-    others = int(distinct) - k
-    groups = max(1, min(p.groups, -(-others // p.fill)))
-    slots = min(p.slots, 1 << max(1, others).bit_length())
-    cls = np.where(np.arange(len(top)) < k, groups + np.arange(len(top)), group_of(keys, groups))
-    # Sums of counts and numbers of words by group (groups rows), less those of words with a class of their own.
-    mass, words = np.zeros(groups), np.zeros(groups)
-    for g, n, w in counts.groupBy(F.expr(GROUP.format(groups)).alias("g")).agg(F.sum("c"), F.count("*")).collect():
+    direct = min(p.direct, len(top))
+    clusters = min(p.clusters, -(-(len(top) - direct) // p.width))
+    classes = min(len(top), direct + clusters * p.width)
+    others = int(distinct) - classes
+    groups = max(1, min(p.groups, -(-others // (8 * p.width))))
+    own, slots = min(p.own, len(top)), min(p.slots, 1 << max(1, int(distinct)).bit_length())
+    t = Tables(keys, c, np.empty(0), np.empty(0), np.empty(0), direct, clusters, groups, p.width, own, slots, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts, np.empty(0), np.empty(0))
+    rank = np.arange(len(top))
+    leaf = np.where(rank < direct, -1, np.where(rank < classes, rank - direct, t.tail_leaf(keys)))
+    # Sums of counts and numbers of words by leaf of the groups (as many rows as leaves), less those of words with a class of their own.
+    leaves = groups * p.width
+    mass, words = np.zeros(leaves), np.zeros(leaves)
+    for g, n, w in counts.groupBy(F.expr(LEAF.format(leaves)).alias("g")).agg(F.sum("c"), F.count("*")).collect():
         mass[g], words[g] = n, w
-    own = group_of(keys[:k], groups)
-    mass -= np.bincount(own, c[:k], groups)
-    words -= np.bincount(own, None, groups)
-    mass += ALPHA * (words + 1)
-    uni = np.concatenate((mass, c[:k] + ALPHA, [n_texts + ALPHA]))
-    return Tables(keys[order], c[order], cls[order], groups + k + 1, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts, float(mass.sum()), uni / uni.sum(), groups, slots)
+    at = t.tail_leaf(keys[:classes]) - clusters * p.width
+    mass += ALPHA * (words + 1) - np.bincount(at, c[:classes] + ALPHA, leaves)
+    inner = np.zeros(clusters * p.width)
+    inner[: classes - direct] = c[direct:classes] + ALPHA
+    t.leaf_mass = np.concatenate((inner, np.maximum(mass, ALPHA))).reshape(-1, p.width)
+    t.node_mass = np.concatenate((c[:direct] + ALPHA, t.leaf_mass.sum(1), [n_texts + ALPHA]))
+    order = np.argsort(keys)
+    t.keys, t.counts, t.leaf = keys[order], c[order], leaf[order]
+    t.node = np.where(t.leaf < 0, rank[order], direct + t.leaf // p.width)
+    t.row = np.where(rank[order] < own, rank[order], t.slot(t.keys))
+    return t
 
 
-#: The group of a word hash, in SQL and in numpy.
-GROUP = "cast((h & 9223372036854775807) % {} as int)"
+def sequences(h: np.ndarray, off: np.ndarray, pos: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, node, leaf, at, offsets): context rows of the word before each token and of the one before that, the token's places in
+    the tree, where the words are among the tokens, and the offsets of texts; a text of n words has n + 1 tokens."""
+    n = len(off) - 1
+    out_off = off + np.arange(n + 1)
+    size = int(out_off[-1])
+    node, leaf, row = np.full(size, t.end, np.int32), np.full(size, -1, np.int32), np.full(size, t.begin, np.int32)
+    at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(off))
+    if len(h):
+        known = pos >= 0
+        where, of = np.flatnonzero(known), pos[known]
+        lf, nd, rw = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        lf[where], nd[where], rw[where] = t.leaf[of], t.node[of], t.row[of]
+        rest = np.flatnonzero(~known)
+        lf[rest], rw[rest] = t.tail_leaf(h[rest]), t.slot(h[rest])
+        nd[rest] = t.direct + lf[rest] // t.width
+        leaf[at], node[at], row[at] = lf, nd, rw
+    a, b = np.full(size, t.begin, np.int32), np.full(size, t.begin, np.int32)
+    a[1:], b[2:] = row[:-1], row[:-2]
+    first = out_off[:-1]
+    a[first] = b[first] = t.begin
+    second = first + 1
+    b[second[second < out_off[1:]]] = t.begin
+    return a, b, node, leaf, at, out_off
+
 
+@dataclass
+class Theta:
+    """Parameters, float32: r (contexts), q (root's children, the last column is the bias), l (leaves, likewise), and c = (C1, C2)."""
 
-def group_of(h: np.ndarray, groups: int) -> np.ndarray:
-    return ((h & np.uint64((1 << 63) - 1)) % np.uint64(groups)).astype(np.int64)
+    r: np.ndarray
+    q: np.ndarray
+    l: np.ndarray
+    c: np.ndarray
 
+    def copy(self) -> Theta:
+        return Theta(*(x.copy() for x in self.parts()))
 
-def sequences(h: np.ndarray, off: np.ndarray, pos: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The two words before each token of every text as one code of four context rows, the token's class, where the words are
-    among the tokens, and the offsets of texts; a text of n words has n + 1 tokens."""
-    n, m, rows = len(off) - 1, t.n_classes, t.contexts
-    out_off = off + np.arange(n + 1)
-    w = np.full(int(out_off[-1]), m - 1, np.int64)
-    one = np.full(len(w), (m - 1) * (rows + 1), np.int64)
-    at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(off))
-    if len(h):
-        cls = np.where(pos >= 0, t.cls[np.maximum(pos, 0)] if len(t.cls) else 0, group_of(h, t.groups))
-        slot = [m + 1 + ((h >> np.uint64(s)) & np.uint64(t.slots - 1)).astype(np.int64) for s in (34, 49)]
-        w[at] = cls
-        one[at] = np.where(cls < t.groups, slot[0] * rows + slot[1], cls * (rows + 1))
-    begin = m * (rows + 1)
-    a, b = np.full(len(w), begin), np.full(len(w), begin)
-    a[1:] = one[:-1]
-    b[2:] = one[:-2]
-    a[out_off[:-1]] = begin
-    b[out_off[:-1]] = begin
-    second = out_off[:-1] + 1
-    second = second[second < out_off[1:]]
-    b[second] = begin
-    return a * rows**2 + b, w, at, out_off
-
-
-def rows_of(code: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The four context rows of a code: two of the word before, two of the one before that."""
-    n = t.contexts
-    return code // n**3, code // n**2 % n, code // n % n, code % n
-
-
-def context(theta: np.ndarray, code: np.ndarray, t: Tables, dim: int) -> np.ndarray:
-    """C1 * r_a + C2 * r_b of each code."""
-    a1, a2, b1, b2 = rows_of(code, t)
-    r = theta[:, :dim]
-    return (r[a1] + r[a2]) * (r[-2] / 2) + (r[b1] + r[b2]) * (r[-1] / 2)
-
-
-# Parameters: one array of rows; r (contexts: classes, the beginning, slots), q (classes, the last column is the bias), C1, C2.
-def initial(t: Tables, p: LmParams) -> np.ndarray:
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.q, self.l, self.c
+
+
+def initial(t: Tables, p: LmParams) -> Theta:
     rng = np.random.default_rng(7)
-    m, n = t.n_classes, t.contexts
-    theta = np.zeros((n + m + 2, p.dim + 1))
-    theta[:n, : p.dim] = rng.normal(0, 0.3, (n, p.dim))
-    theta[n : n + m, : p.dim] = rng.normal(0, 0.05, (m, p.dim))
-    theta[n : n + m, p.dim] = np.log(t.unigram)
-    theta[n + m, : p.dim], theta[n + m + 1, : p.dim] = 1.0, 0.5
-    return theta
+    d, f = p.dim, np.float32
+    vector = lambda n, s: rng.normal(0, s, (n, d))
+    share = t.leaf_mass / t.leaf_mass.sum(1)[:, None]
+    bias = np.where(share > 0, np.log(np.maximum(share, 1e-300)), -1e9).ravel()
+    q = np.column_stack([vector(t.end + 1, 0.05), np.log(t.node_mass / t.node_mass.sum())])
+    leaf = np.column_stack([vector(len(bias), 0.05), bias])
+    return Theta(vector(t.begin + 1, 0.3).astype(f), q.astype(f), leaf.astype(f), np.stack([np.full(d, 1.0), np.full(d, 0.5)]).astype(f))
 
 
-def _climb(theta: np.ndarray, square: np.ndarray, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
-    """AdaGrad on the given rows; values of repeated rows are added up, by sorting and segment sums."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by row number."""
     order = np.argsort(rows, kind="stable")
     r = rows[order]
     cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    r, g = r[cut], np.add.reduceat(values[order], cut, axis=0)
-    square[r] += g * g
-    theta[r] += rate * g / np.sqrt(square[r])
+    return r[cut], np.add.reduceat(values[order], cut, axis=0)
 
 
-def _pull(ctx: np.ndarray, true: np.ndarray, log_kq: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """NCE's pull on the true rows' scores."""
-    d = ctx.shape[1]
-    return weight / (1 + np.exp(np.clip((ctx * true[:, :d]).sum(1) + true[:, d] - log_kq, -30, 30)))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Nce:
-    """One task's training: AdaGrad over minibatches of weighted triples."""
+    """One task's training: AdaGrad over minibatches of weighted tokens."""
 
-    def __init__(self, theta: np.ndarray, t: Tables, p: LmParams, seed: int):
+    def __init__(self, theta: Theta, square: Theta, t: Tables, p: LmParams, seed: int):
+        """square: sums of squared gradients so far."""
         self.theta, self.t, self.p = theta.copy(), t, p
-        self.square = np.full_like(theta, 1e-2)
+        self.square = square.copy().parts()
+        self.used = [np.zeros(len(x), np.int64) for x in theta.parts()]
         self.rng = np.random.default_rng(seed)
-        self.log_kq = np.log(p.noise * t.unigram)
-        self.cdf = np.cumsum(t.unigram)
-
-    def epoch(self, code: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
-        """One pass over all triples; those seen often are split into several entries, so that a minibatch doesn't hang on one of them."""
-        pieces = -(-weight // self.p.heavy).astype(np.int64)
-        order = self.rng.permutation(np.repeat(np.arange(len(w)), pieces))
-        share = weight / pieces
-        mean = share[order].mean()
+        uni = t.node_mass / t.node_mass.sum()
+        self.log_kq, self.cdf = np.log(p.noise * uni).astype(np.float32), np.cumsum(uni)
+        # Noise in a block: a table of its children, each in it once at least and else by its share.
+        share = t.leaf_mass / t.leaf_mass.sum(1)[:, None]
+        there = share > 0
+        times = there + np.floor(share * 3 * t.width).astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(times.sum(1))))
+        self.table = np.repeat(np.arange(share.size), times.ravel())
+        self.log_kl = np.log(p.near * np.maximum(times, 1) / times.sum(1)[:, None]).astype(np.float32).ravel()
+
+    def learn(self, a: np.ndarray, b: np.ndarray, node: np.ndarray, leaf: np.ndarray) -> None:
+        """One pass over all tokens; equal ones go together with a weight, those seen often in several entries, so that a minibatch doesn't hang on one of them."""
+        t = self.t
+        n, m = t.begin + 1, t.leaf_mass.size + t.end + 1
+        key, weight = np.unique((a.astype(np.int64) * n + b) * m + np.where(leaf >= 0, leaf, t.leaf_mass.size + node), return_counts=True)
+        pieces = -(-weight // self.p.heavy)
+        order = self.rng.permutation(np.repeat(np.arange(len(key)), pieces))
+        share = (weight / pieces).astype(np.float32)
         for s in range(0, len(order), self.p.batch):
             k = order[s : s + self.p.batch]
-            self.step(code[k], w[k], share[k] / (mean * len(k)))
-
-    def step(self, code: np.ndarray, w: np.ndarray, weight: np.ndarray) -> None:
-        n, m, d = self.t.contexts, self.t.n_classes, self.p.dim
-        th = self.theta
-        a1, a2, b1, b2 = rows_of(code, self.t)
-        c1, c2 = th[-2, :d], th[-1, :d]
-        ra, rb = (th[a1, :d] + th[a2, :d]) / 2, (th[b1, :d] + th[b2, :d]) / 2
-        ctx = ra * c1 + rb * c2
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(self.p.noise)), m - 1)
-        qw, qn = th[n + w], th[n + noise]
-        un = ctx @ qn[:, :d].T + qn[:, d] - self.log_kq[noise]
-        gp = _pull(ctx, qw, self.log_kq[w], weight)  # pulls the true class up
-        gn = -weight[:, None] / (1 + np.exp(-np.clip(un, -30, 30)))  # pushes the noise down
-        gctx = gp[:, None] * qw[:, :d] + gn @ qn[:, :d]
-        ga, gb = gctx * (c1 / 2), gctx * (c2 / 2)
-        r = np.concatenate([ga, ga, gb, gb, [(gctx * ra).sum(0), (gctx * rb).sum(0)]])
-        rows = np.concatenate([a1, a2, b1, b2, [n + m, n + m + 1], n + w, n + noise])
-        values = np.concatenate([np.column_stack([r, np.zeros(len(r))]), np.column_stack([gp[:, None] * ctx, gp]), np.column_stack([gn.T @ ctx, gn.sum(0)])])
-        _climb(th, self.square, rows, values * len(w) ** 0.5, self.p.rate)
-
-
-class Group:
-    """The words of one group: buckets of like frequency, and a vector and a bias for each bucket and each word."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray, p: LmParams, seed: int):
-        order = np.argsort(h)
-        self.keys, self.counts, self.p, self.rng = h[order], np.append(c[order], 0), p, np.random.default_rng(seed)
-        n = len(h) + 1  # the last: the unseen word
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((np.arange(n), -self.counts))] = np.arange(n)
-        self.rank, self.width = rank, math.isqrt(n - 1) + 1
-        mass = np.empty(n)
-        mass[rank] = self.counts + ALPHA
-        self.starts = np.arange(0, n, self.width)
-        whole = np.add.reduceat(mass, self.starts)
-        share = mass / np.repeat(whole, np.diff(np.append(self.starts, n)))
-        self.cdf = np.concatenate(([0.0], np.cumsum(mass / mass.sum())))
-        self.log_kb, self.log_kw = np.log(p.noise * whole / whole.sum()), np.log(p.near * share)
-        self.buckets, self.words = (np.column_stack([self.rng.normal(0, 0.05, (len(x), p.dim)), np.log(x)]) for x in (whole / whole.sum(), share))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Positions in keys, the last for unseen words."""
-        at = np.searchsorted(self.keys, h)
-        ok = at < len(self.keys)
-        ok[ok] = self.keys[at[ok]] == h[ok]
-        return np.where(ok, at, len(self.keys))
-
-    def learn(self, ctx_of, code: np.ndarray, word: np.ndarray) -> None:
-        """Rounds of NCE: at the buckets against buckets, at the words against words of the same bucket."""
-        p, d = self.p, self.p.dim
-        sb, sw = np.full_like(self.buckets, 1e-2), np.full_like(self.words, 1e-2)
-        last = np.append(self.starts[1:], len(self.words))
-        for _ in range(p.rounds):
-            order = self.rng.permutation(len(code))
-            for s in range(0, len(order), p.batch):
-                k = order[s : s + p.batch]
-                ctx, w = ctx_of(code[k]), word[k]
-                b, weight, scale = w // self.width, np.full(len(k), 1 / len(k)), len(k) ** 0.5
-                noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise), "right") - 1, len(self.words) - 1) // self.width
-                qn = self.buckets[noise]
-                gn = -weight[:, None] / (1 + np.exp(-np.clip(ctx @ qn[:, :d].T + qn[:, d] - self.log_kb[noise], -30, 30)))
-                gp = _pull(ctx, self.buckets[b], self.log_kb[b], weight)
-                _climb(self.buckets, sb, np.concatenate([b, noise]), scale * np.concatenate([np.column_stack([gp[:, None] * ctx, gp]), np.column_stack([gn.T @ ctx, gn.sum(0)])]), p.rate)
-                lo, hi = self.cdf[self.starts[b]], self.cdf[last[b]]
-                near = np.searchsorted(self.cdf, lo[:, None] + self.rng.random((len(k), p.near)) * (hi - lo)[:, None], "right") - 1
-                near = np.clip(near, self.starts[b][:, None], last[b][:, None] - 1)
-                qn = self.words[near]
-                gn = -weight[:, None] / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", ctx, qn[:, :, :d]) + qn[:, :, d] - self.log_kw[near], -30, 30)))
-                gp = _pull(ctx, self.words[w], self.log_kw[w], weight)
-                far = np.concatenate([gn[:, :, None] * ctx[:, None, :], gn[:, :, None]], axis=2).reshape(-1, d + 1)
-                _climb(self.words, sw, np.concatenate([w, near.ravel()]), scale * np.concatenate([np.column_stack([gp[:, None] * ctx, gp]), far]), p.rate)
-
-    def log_p(self, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of words, given their group."""
-        b = word // self.width
-        out = picked(ctx, self.buckets, b)
-        order = np.argsort(b, kind="stable")
-        cut = np.searchsorted(b[order], np.arange(len(self.buckets) + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            i, at = order[cut[k] : cut[k + 1]], self.starts[k]
-            out[i] += picked(ctx[i], self.words[at : at + self.width], word[i] - at)
-        return out
+            x = key[k]
+            code, target = x // m, x % m
+            lf = np.where(target < t.leaf_mass.size, target, -1)
+            self.step(code // n, code % n, np.where(lf < 0, target - t.leaf_mass.size, t.direct + lf // t.width), lf, share[k])
+
+    def _climb(self, which: int, rows: np.ndarray, values: np.ndarray) -> None:
+        r, g = _sums(rows.astype(np.uint16) if len(self.used[which]) <= 65536 else rows, values)
+        x, sq = self.theta.parts()[which], self.square[which]
+        new = sq[r] + g * g
+        sq[r] = new
+        x[r] += self.p.rate * g / np.sqrt(new)
+        self.used[which][r] += 1
+
+    def step(self, a: np.ndarray, b: np.ndarray, node: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> None:
+        th, p, d = self.theta, self.p, self.p.dim
+        c1, c2 = th.c[0].copy(), th.c[1].copy()
+        ra, rb = th.r[a], th.r[b]
+        ctx = np.ones((len(a), d + 1), np.float32)
+        ctx[:, :d] = ra * c1 + rb * c2
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise)), self.t.end)
+        qt, qn = th.q[node], th.q[noise]
+        gn = -weight[:, None] * _sigmoid(ctx @ qn.T - self.log_kq[noise])  # pushes the noise down
+        gp = weight * _sigmoid(self.log_kq[node] - np.einsum("nd,nd->n", ctx, qt))  # pulls the true child up
+        g = gp[:, None] * qt[:, :d] + gn @ qn[:, :d]
+        deep = np.flatnonzero(leaf >= 0)
+        if len(deep):
+            mine, cx = leaf[deep], ctx[deep]
+            block = mine // self.t.width
+            lo, size = self.starts[block], self.starts[block + 1] - self.starts[block]
+            drawn = self.table[lo[:, None] + (self.rng.random((len(deep), p.near), dtype=np.float32) * size[:, None]).astype(np.int64)]
+            rows = np.concatenate([mine[:, None], drawn], 1)
+            ql = th.l[rows]
+            u = np.einsum("nd,nkd->nk", cx, ql) - self.log_kl[rows]
+            gl = -_sigmoid(u)
+            gl[:, 0] += 1
+            gl *= weight[deep][:, None]
+            g[deep] += np.einsum("nk,nkd->nd", gl, ql[:, :, :d])
+            self._climb(2, rows.ravel(), (gl[:, :, None] * cx[:, None, :]).reshape(-1, d + 1))
+        self._climb(1, np.concatenate([node, noise]), np.concatenate([gp[:, None] * ctx, gn.T @ ctx]))
+        self._climb(3, np.arange(2), np.stack([(g * ra).sum(0), (g * rb).sum(0)]))
+        self._climb(0, np.concatenate([a, b]), np.concatenate([g * c1, g * c2]))
+
+
+def _learn_all(nce: Nce, batches: Iterator[pa.RecordBatch]) -> bool:
+    """Learn from all texts, `flush` tokens at a time; whether there were any."""
+    t, look = nce.t, Lookup(nce.t.keys)
+    held: list[tuple[np.ndarray, ...]] = []
+    n, some = 0, False
+    for _, h, off in _batches(batches, 0):
+        held.append(sequences(h, off, look(h), t)[:4])
+        n += len(held[-1][0])
+        if n >= nce.p.flush:
+            nce.learn(*map(np.concatenate, zip(*held, strict=True)))
+            held, n, some = [], 0, True
+    if n:
+        nce.learn(*map(np.concatenate, zip(*held, strict=True)))
+    return some or n > 0
+
+
+def _warm(learned: DataFrame, t: Tables, p: LmParams) -> tuple[Theta, Theta]:
+    """Where all tasks start: parameters and sums of squares that one task learned from a sample of about p.warm tokens."""
+    theta = initial(t, p)
+    square = Theta(*(np.ones_like(x) for x in theta.parts()))
+    shared = learned.sparkSession.sparkContext.broadcast((theta, square, t))
+    share = min(1.0, p.warm / max(1, t.total))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nce = Nce(*shared.value, p, 999)
+        _learn_all(nce, batches)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((nce.theta.parts(), tuple(nce.square)))], pa.binary())], names=["v"])
 
-def picked(ctx: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """log softmax(ctx . q + bias) at w, in natural logarithms, a slice of tokens at a time."""
-    q, out = q.astype(np.float32), np.empty(len(w))
-    for s in range(0, len(w), 2048):
-        x = ctx[s : s + 2048].astype(np.float32) @ q[:, :-1].T + q[:, -1]
-        x -= x.max(1)[:, None]
-        mine = x[np.arange(len(x)), w[s : s + 2048]]
-        out[s : s + 2048] = mine - np.log(np.exp(x).sum(1))
-    return out
+    sample = learned.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003).select("text")
+    got = sample.repartition(1).mapInArrow(run, "v binary").collect()  # one row of the model's size
+    shared.unpersist()
+    return tuple(Theta(*x) for x in pickle.loads(got[0]["v"])) if got else (theta, square)
 
 
-def train(texts: DataFrame, t: Tables, p: LmParams) -> np.ndarray:
-    """Rounds of training over all rows of texts; between rounds parameters are averaged by the tokens that they saw."""
-    theta = initial(t, p)
-    sc = texts.sparkSession.sparkContext
+def train(learned: DataFrame, t: Tables, p: LmParams) -> Theta:
+    """Rounds of training over all rows of learned (doc_id, text); after each, a row of parameters is averaged by the updates that it got."""
+    theta, square = _warm(learned, t, p)
+    sc = learned.sparkSession.sparkContext
+    starts = np.cumsum([0] + [len(x) for x in theta.parts()])
     for rnd in range(p.rounds):
-        shared = sc.broadcast((theta, t))
+        shared = sc.broadcast((theta, square, t))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rnd=rnd) -> Iterator[pa.RecordBatch]:
-            theta, t = shared.value
-            look, nce, seen = Lookup(t.keys), Nce(theta, t, p, 1000 + rnd), 0
-            held: list[np.ndarray] = []
-            n = 0
-
-            def learn() -> None:
-                code, w = np.concatenate(held, axis=1)
-                mixed = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                _, at, c = np.unique(mixed, return_index=True, return_counts=True)
-                nce.epoch(code[at], w[at], c.astype(float))
-
-            for _, h, off in _batches(batches, 0):
-                code, w, _, _ = sequences(h, off, look(h), t)
-                held.append(np.stack([code, w]))
-                n += len(w)
-                if n >= p.flush:
-                    learn()
-                    seen, held, n = seen + n, [], 0
-            if n:
-                learn()
-                seen += n
-            if seen:  # only rows that moved
-                k = np.flatnonzero((nce.theta != theta).any(1))
-                rows = pa.array((nce.theta[k] * seen).tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), float(seen))), rows], names=["row", "n", "v"])
-
-        sent = texts.select("text").mapInArrow(run, "row long, n double, v array<double>")
-        mean = sent.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(p.dim + 1)])
+            nce = Nce(*shared.value, p, 1000 + rnd)
+            if _learn_all(nce, batches):  # only rows that moved
+                for k, (x, used) in enumerate(zip(nce.theta.parts(), nce.used, strict=True)):
+                    at = np.flatnonzero(used)
+                    wide = np.zeros((len(at), p.dim + 1), np.float32)
+                    wide[:, : x.shape[1]] = x[at]
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (p.dim + 1)), pa.array(wide.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array((starts[k] + at).astype(np.int32)), pa.array(used[at].astype(np.float64)), rows], names=["row", "n", "v"])
+
+        sent = learned.select("text").mapInArrow(run, "row int, n double, v array<float>")
+        mean = sent.groupBy("row").agg(*[(F.sum(F.col("v")[j] * F.col("n")) / F.sum("n")).alias(f"v{j}") for j in range(p.dim + 1)])
         got = mean.toPandas().sort_values("row")
-        if len(got):
-            theta = theta.copy()
-            theta[got["row"].to_numpy()] = got[[f"v{j}" for j in range(p.dim + 1)]].to_numpy() / got[["n"]].to_numpy()
+        theta = theta.copy()
+        at, v = got["row"].to_numpy(np.int64), got[[f"v{j}" for j in range(p.dim + 1)]].to_numpy(np.float32)
+        for k, x in enumerate(theta.parts()):
+            mine = (at >= starts[k]) & (at < starts[k + 1])
+            x[at[mine] - starts[k]] = v[mine][:, : x.shape[1]]
         shared.unpersist()
     return theta
 
 
-def normalised(theta: np.ndarray, t: Tables, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(near, far, log_z): score(w | a, b) = near[a, w] + far[b, w] - log_z[a, b] of single context rows, in natural logarithms: all of a small model."""
-    n, m, d = t.contexts, t.n_classes, p.dim
-    r, q, bias = theta[:n, :d], theta[n : n + m, :d], theta[n : n + m, d]
-    near, far = (r * theta[n + m, :d]) @ q.T + bias, (r * theta[n + m + 1, :d]) @ q.T
-    log_z = np.empty((n, n))
-    top_n, top_f = near.max(1), far.max(1)
-    e_near, e_far = np.exp(near - top_n[:, None]), np.exp(far - top_f[:, None])
-    log_z[:] = np.log(e_near @ e_far.T) + top_n[:, None] + top_f[None, :]
-    return near, far, log_z
+@dataclass
+class Model:
+    """Tables and parameters, with what scoring needs of them."""
+
+    t: Tables
+    theta: Theta
+    cached: list = field(default_factory=list)
+
+    def _root(self) -> tuple[np.ndarray, ...]:
+        """exp(scores) of the root's children from each context row alone, near and far, and the logs that were taken out; the sum over children of a product of two rows is the root's normaliser."""
+        if not self.cached:
+            r, q, c = self.theta.r, self.theta.q, self.theta.c
+            d = r.shape[1]
+            near, far = (r * c[0]) @ q[:, :d].T + q[:, d], (r * c[1]) @ q[:, :d].T
+            m, k = near.max(1), far.max(1)
+            self.cached.append((np.exp(near - m[:, None]), np.exp(far - k[:, None]), m, k))
+        return self.cached[0]
+
+    def __getstate__(self) -> tuple:
+        return self.t, self.theta
+
+    def __setstate__(self, state: tuple) -> None:
+        self.t, self.theta = state
+        self.cached = []
+
+    def log_p(self, a: np.ndarray, b: np.ndarray, node: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of a root's child and, below it, of the leaf, from batched matrix products."""
+        t, th = self.t, self.theta
+        d = th.r.shape[1]
+        e_near, e_far, m, k = self._root()
+        out = np.empty(len(a))
+        for s in range(0, len(a), 4096):
+            x, y, z = a[s : s + 4096], b[s : s + 4096], node[s : s + 4096]
+            whole = np.einsum("nj,nj->n", e_near[x], e_far[y])
+            out[s : s + 4096] = np.log(e_near[x, z] * e_far[y, z] / whole)
+        thin = np.flatnonzero(~np.isfinite(out))  # beyond float32's range: the plain way
+        for i in thin.tolist():
+            v = ((th.r[a[i]] * th.c[0] + th.r[b[i]] * th.c[1]) @ th.q[:, :d].T + th.q[:, d]).astype(np.float64)
+            out[i] = v[node[i]] - v.max() - np.log(np.exp(v - v.max()).sum())
+        order = np.argsort(leaf, kind="stable")
+        cut = np.searchsorted(leaf[order], np.arange(len(t.leaf_mass) + 1) * t.width)
+        for j in np.flatnonzero(np.diff(cut)).tolist():
+            i = order[cut[j] : cut[j + 1]]
+            part = th.l[j * t.width : (j + 1) * t.width]
+            for s in range(0, len(i), 8192):
+                ii = i[s : s + 8192]
+                x = (th.r[a[ii]] * th.c[0] + th.r[b[ii]] * th.c[1]) @ part[:, :d].T + part[:, d]
+                x -= x.max(1)[:, None]
+                mine = x[np.arange(len(ii)), leaf[ii] - j * t.width]
+                out[ii] += mine - np.log(np.exp(x).sum(1))
+        return out
 
 
-def score(docs: DataFrame, p: LmParams = LmParams(), held_out_mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(learned: DataFrame, p: LmParams = LmParams()) -> tuple[Model, DataFrame]:
+    """learned (doc_id, text) -> the model, and (h, c), the count of each word hash."""
+    small_batches(learned.sparkSession)
+    counts = stored(word_counts(learned, p), "counts")
+    t = tables(counts, learned.count(), p)
+    return Model(t, train(learned, t, p)), counts
+
+
+def score(docs: DataFrame, p: LmParams = LmParams(), held_out_mod: int = 10, id_col: str = "doc_id", text_col: str = "text", fitted: tuple[Model, DataFrame] | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Texts are words (see `wordhash`) and one end. Statistics and model come from the rows whose crc32 of doc_id as text
     leaves a remainder other than 0 modulo held_out_mod. base_score: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))).
     score: the model's log10 probability. A null text counts as empty and has one token, its end. Rows that repeat a doc_id
-    are each scored and each learned from. An empty table gives an empty result.
+    are each scored and each learned from. An empty table gives an empty result. fitted: what `fit` returned, to score by it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id"), held_out_mod))
-    learned = docs.filter("not held_out").select("text")
-    counts = stored(word_counts(learned, p), "counts")
-    t = tables(counts, learned.count(), p)
-    theta = train(learned, t, p)
-    shared = spark.sparkContext.broadcast((t, theta.astype(np.float32)))
+    small_batches(spark)
+    model, counts = fitted or fit(docs.filter("not held_out").select("doc_id", "text"), p)
+    t = model.t
+    shared = spark.sparkContext.broadcast(model)
 
     # Each row has a number of its own, so that rows which share a doc_id stay apart.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, theta = shared.value
+        model = shared.value
+        t = model.t
         look, row = Lookup(t.keys), TaskContext.get().partitionId() << 40
         down = np.log10(t.total + ALPHA * (t.distinct + 1))
         log_c = np.log10(t.counts + ALPHA)
-        q = theta[t.contexts : t.contexts + t.n_classes]
+        first_tail, log_mass = t.clusters * t.width, np.log10(np.maximum(t.leaf_mass, 1e-300)).ravel()
         for part, h, off in _batches(batches, 1):
             n = len(off) - 1
             pos = look(h)
-            code, w, place, toff = sequences(h, off, pos, t)
-            lp = picked(context(theta, code, t, p.dim), q, w) / np.log(10)
+            a, b, node, leaf, place, toff = sequences(h, off, pos, t)
+            lp = model.log_p(a, b, node, leaf) / np.log(10)
             known = pos >= 0
             at = np.repeat(np.arange(n), np.diff(off))
             share = np.where(known, log_c[np.maximum(pos, 0)] if len(log_c) else 0.0, 0.0)
             n_words = np.diff(off)
             base = np.bincount(at, share, n) + np.log10(t.ends + ALPHA) - (n_words + 1) * down
-            model = np.add.reduceat(lp, toff[:-1]) if n else np.empty(0)
-            # Words of groups go on as (hash, contexts): their group scores them, and gives the counts of those outside the head.
-            other = w[place] < t.groups
-            cut = np.searchsorted(at[other], np.arange(n + 1)).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[other].view(np.int64)))
-            before = pa.ListArray.from_arrays(pa.array(cut), pa.array(code[place[other]]))
-            outside = pa.ListArray.from_arrays(pa.array(cut), pa.array(~known[other]))
+            model_sum = np.add.reduceat(lp, toff[:-1]) if n else np.empty(0)
+            mine = leaf[place]
+            tail = mine >= first_tail  # these share their leaf by their counts
+            model_sum = model_sum + np.bincount(at[tail], share[tail] - log_mass[mine[tail]], n)
+            # Words outside the head go on as (hash, times): their counts are joined.
+            cell, times = np.unique(np.stack([at[~known].astype(np.uint64), h[~known]]), axis=1, return_counts=True) if (~known).any() else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
+            cut = np.searchsorted(cell[0], np.arange(n + 1)).astype(np.int32)
+            outside = pa.ListArray.from_arrays(pa.array(cut), pa.array(cell[1].view(np.int64)))
+            many = pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))
             ids = pa.array(np.arange(row, row + n))
             row += n
-            yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(2), pa.array(n_words + 1), pa.array(np.bincount(at[known], None, n).astype(np.int64) + int(t.ends > 0)), pa.array(base), pa.array(model), tail, before, outside], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "before", "outside"])
+            yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(2), pa.array(n_words + 1), pa.array(np.bincount(at[known], None, n).astype(np.int64) + int(t.ends > 0)), pa.array(base), pa.array(model_sum), outside, many], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "times"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    first = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, before array<long>, outside array<boolean>"), "scored")
-    tail = first.select("row", "held_out", F.explode(F.arrays_zip("tail", "before", "outside")).alias("x"))
-    group = F.expr(GROUP.format(t.groups))
-    asked = tail.select(F.col("x.tail").alias("h"), F.col("x.before").alias("v"), "row", (F.col("held_out").cast("int") + F.col("x.outside").cast("int") * 2).cast("byte").alias("kind"))
-    with_class = spark.createDataFrame(pa.table({"h": pa.array(t.keys[t.cls >= t.groups].view(np.int64), pa.int64())}))
-    own = counts.join(F.broadcast(with_class), "h", "left_anti").select("h", F.col("c").alias("v"), F.lit(-1).cast("long").alias("row"), F.lit(0).cast("byte").alias("kind"))
-    dealt = own.unionByName(asked).withColumn("g", group).repartition("g").sortWithinPartitions("g")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, theta = shared.value
-        ctx_of = lambda code: context(theta, code, t, p.dim)
-
-        def done(g: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            h, v, row, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            vocab = row < 0
-            one = Group(h[vocab].view(np.uint64), v[vocab], p, g)
-            at, v, row, kind = one.find(h[~vocab].view(np.uint64)), v[~vocab], row[~vocab], kind[~vocab]
-            word = one.rank[at]
-            order = np.lexsort((row, word, v))
-            code, word, at, row, kind = v[order], word[order], at[order], row[order], kind[order]
-            taught = kind % 2 == 0
-            one.learn(ctx_of, code[taught], word[taught])
-            lp = np.concatenate([one.log_p(ctx_of(code[s : s + 65_536]), word[s : s + 65_536]) for s in range(0, len(code), 65_536)] or [np.empty(0)]) / np.log(10)
-            outside = kind >= 2
-            logs, known = np.where(outside, np.log10(one.counts[at] + ALPHA), 0.0), outside & (at < len(one.keys))
-            u, to = np.unique(row, return_inverse=True)
-            sums = [np.bincount(to, x, len(u)) for x in (lp, logs, known)]
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int32))], names=["row", "lp", "logs", "known"])
-
-        now, parts = -1, []
-        for batch in batches:
-            g, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            cut = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                if a == b:
-                    continue
-                if g[a] != now and parts:
-                    yield done(now, parts)
-                now = int(g[a])
-                parts.append(tuple(c[a:b] for c in cols))
-        if parts:
-            yield done(now, parts)
-
-    spoken = dealt.select("g", "h", "v", "row", "kind").mapInArrow(words, "row long, lp double, logs double, known int")
-    more = spoken.groupBy("row").agg(F.sum("lp").alias("lp"), F.sum("logs").alias("logs"), F.sum("known").alias("known"))
-    n_train = F.lit(t.total).cast("long")
-    return first.drop("tail", "before", "outside").join(more, "row", "left").select(
+    first = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<int>"), "scored")
+    tail = first.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("k"))
+    more = tail.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("logs"))
+    return first.drop("tail", "times").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        n_train.alias("train_tokens"),
+        F.lit(t.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("lp", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
     )

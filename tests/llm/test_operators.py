@@ -230,7 +230,7 @@ def test_token_counts_equal_library(spark):
 def test_lm(spark):
     r = random.Random(6)
     rows = [(i, prose(r, vocabulary(1 + i % 2, 40), r.randint(5, 60)) + f" rare{i}") for i in range(160)] + EDGE
-    p = lm.LmParams(classes=30, head=50, batch=64, heavy=4, rounds=3)
+    p = lm.LmParams(direct=10, clusters=3, width=8, head=50, batch=64, heavy=4, rounds=3)
     got = lm.score(frame(spark, rows), p).collect()
     c = collections.Counter()
     for i, t in rows:
@@ -248,20 +248,62 @@ def test_lm(spark):
     assert lm.score(frame(spark, []), p).count() == 0
 
 
-def test_lm_is_normalised():
+def test_lm_score_equals_brute_force_and_is_normalised(spark):
+    """The probability of each word of the vocabulary, and of an unseen one, by plain loops over the parameters."""
     import numpy as np
 
-    t = lm.Tables(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 7, 10, 5, 1, 1.0, np.full(7, 1 / 7))
-    p = lm.LmParams(dim=4)
-    near, far, z = lm.normalised(lm.initial(t, p) + 0.3, t, p)
-    total = np.exp(near[:, None, :] + far[None, :, :] - z[:, :, None]).sum(2)
-    assert np.allclose(total, 1)
+    r = random.Random(12)
+    rows = [(i, prose(r, vocabulary(1, 50), r.randint(3, 40)) + f" rare{i % 90}") for i in range(150)]
+    p = lm.LmParams(direct=5, clusters=2, width=8, groups=3, head=40, own=20, slots=16, batch=64)
+    docs = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    model, counts = lm.fit(frame(spark, docs).select("doc_id", "text"), p)
+    t, th = model.t, model.theta
+    count = collections.Counter(w for _, x in docs for w in x.lower().split())
+    code = {w: wordhash.word_hash(w) for w in count}
+    where = {int(k): (int(n), int(leaf), int(row)) for k, n, leaf, row in zip(t.keys, t.node, t.leaf, t.row)}
+
+    def place(w):
+        h = wordhash.word_hash(w)
+        if h in where:
+            return where[h]
+        leaf = t.clusters * t.width + (h & (2**63 - 1)) % (t.groups * t.width)
+        return t.direct + leaf // t.width, leaf, t.own + (h >> 34) % t.slots
+
+    mass = collections.Counter()
+    for w in count:
+        if place(w)[1] >= t.clusters * t.width:
+            mass[place(w)[1]] += count[w] + 0.1
+
+    def p_of(w, a, b):
+        ctx = [float(th.r[a][k]) * float(th.c[0][k]) + float(th.r[b][k]) * float(th.c[1][k]) for k in range(p.dim)]
+        e = lambda row: math.exp(sum(x * float(y) for x, y in zip(ctx, row)) + float(row[-1]))
+        node, leaf = (t.end, -1) if w is None else place(w)[:2]
+        out = e(th.q[node]) / sum(map(e, th.q))
+        if leaf >= 0:
+            block = th.l[leaf // t.width * t.width : (leaf // t.width + 1) * t.width]
+            out *= e(th.l[leaf]) / sum(map(e, block))
+            if leaf >= t.clusters * t.width:
+                out *= (count.get(w, 0) + 0.1) / (mass[leaf] + 0.1)
+        return out
+
+    for a, b in ((t.begin, t.begin), (0, 3), (t.own + 1, 2)):
+        unseen = 0.0  # one unseen word a leaf
+        for leaf in range(t.clusters * t.width, t.leaf_mass.size):
+            got = model.log_p(*(np.array([x]) for x in (a, b, t.direct + leaf // t.width, leaf)))[0]
+            unseen += math.exp(got) * 0.1 / (mass[leaf] + 0.1)
+        assert sum(p_of(w, a, b) for w in [*count, None]) + unseen == pytest.approx(1, abs=1e-4)
+    by = {x["doc_id"]: x["score"] for x in lm.score(frame(spark, rows), p, fitted=(model, counts)).collect()}
+    for i, text in rows[:40]:
+        want, a, b = 0.0, t.begin, t.begin
+        for w in [*text.lower().split(), None]:
+            want += math.log10(p_of(w, a, b))
+            a, b = (place(w)[2] if w else None), a
+        assert by[i] == pytest.approx(want, abs=1e-3)
+    assert t.leaf_mass.sum() + t.node_mass[: t.direct].sum() == pytest.approx(sum(count.values()) + 0.1 * (len(count) + t.groups * t.width)) and len(code) == len(count)
 
 
 def test_lm_words_without_a_class_depend_on_context_and_serve_as_context(spark):
     """Pairs `ka va` ... of words outside the classes: a held-out text keeps or breaks the pairs, with the same words."""
-    import numpy as np
-
     r = random.Random(16)
     pairs = [(f"k{i}", f"v{i}") for i in range(40)]
     rows = [(i, " ".join(f"the {a} {b}" for a, b in r.sample(pairs, 12))) for i in range(600)]
@@ -270,17 +312,10 @@ def test_lm_words_without_a_class_depend_on_context_and_serve_as_context(spark):
     for i, j in zip(kept, broken, strict=True):
         some = r.sample(pairs, 12)
         rows += [(i, " ".join(f"the {a} {b}" for a, b in some)), (j, " ".join(f"the {some[k][0]} {some[k - 1][1]}" for k in range(12)))]
-    p = lm.LmParams(classes=1, fill=16, batch=64, rounds=3)
+    p = lm.LmParams(direct=1, clusters=0, own=1, batch=64, rounds=3)
     by = {x["doc_id"]: x for x in lm.score(frame(spark, rows), p).collect()}
     for i, j in zip(kept, broken, strict=True):
         assert by[i]["base_score"] == pytest.approx(by[j]["base_score"]) and by[i]["score"] > by[j]["score"] + 1
-    # Classes, and the words of a group with its unseen word, each have probabilities that add up to one.
-    t = lm.tables(lm.word_counts(frame(spark, rows).select("text"), p), len(rows), p)
-    assert t.groups == 5 and t.n_classes == 7 and t.unigram.sum() == pytest.approx(1)
-    g = lm.Group(np.arange(1, 31, dtype=np.uint64), np.arange(1, 31), p, 0)
-    ctx = np.random.default_rng(1).normal(size=(1, p.dim)).repeat(31, 0)
-    g.learn(lambda k: ctx[k], np.arange(31), np.arange(31))
-    assert np.exp(g.log_p(ctx, np.arange(31))).sum() == pytest.approx(1, abs=1e-5)
 
 
 # --- 1 and 2
