@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import SLICE, byte_slices, held_out, small_batches, stored
+from .common import SLICE, byte_slices, held_out, release_memory, small_batches, stored
 
 ALPHA = 0.1
 
@@ -56,12 +56,12 @@ class LmParams:
     heavy: int = 16
     rounds: int = 1
     warm: int = 1_500_000
-    flush: int = 2_000_000
+    flush: int = 500_000
 
 
 def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for whole in batches:
-        for part in byte_slices(whole, text, SLICE):
+        for part in byte_slices(whole, text, SLICE // 2):
             h, off = wordhash.words(part.column(text))
             yield part, h, off
 
@@ -85,6 +85,8 @@ def word_counts(texts: DataFrame, p: LmParams) -> DataFrame:
                 held, n = [], 0
         if held:
             yield out()
+        held.clear()
+        release_memory()
 
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -352,6 +354,8 @@ def _learn_all(nce: Nce, batches: Iterator[pa.RecordBatch]) -> bool:
             held, n, some = [], 0, True
     if n:
         nce.learn(*map(np.concatenate, zip(*held, strict=True)))
+        held.clear()
+    release_memory()
     return some or n > 0
 
 
@@ -511,6 +515,7 @@ def score(docs: DataFrame, p: LmParams = LmParams(), held_out_mod: int = 10, id_
             ids = pa.array(np.arange(row, row + n))
             row += n
             yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(2), pa.array(n_words + 1), pa.array(np.bincount(at[known], None, n).astype(np.int64) + int(t.ends > 0)), pa.array(base), pa.array(model_sum), outside, many], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "times"])
+        release_memory()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     first = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<int>"), "scored")
