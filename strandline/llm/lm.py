@@ -49,9 +49,9 @@ class LmParams:
     own: int = 8192
     slots: int = 8192
     dim: int = 15
-    noise: int = 48
-    near: int = 5
-    batch: int = 4096
+    noise: int = 32
+    near: int = 3
+    batch: int = 2048
     rate: float = 0.1
     heavy: int = 16
     rounds: int = 1
@@ -266,7 +266,12 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Nce:
@@ -319,7 +324,10 @@ class Nce:
         ctx[:, :d] = ra * c1 + rb * c2
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise)), self.t.end)
         qt, qn = th.q[node], th.q[noise]
-        gn = -weight[:, None] * _sigmoid(ctx @ qn.T - self.log_kq[noise])  # pushes the noise down
+        gn = ctx @ qn.T
+        gn -= self.log_kq[noise]
+        _sigmoid(gn)
+        gn *= -weight[:, None]  # pushes the noise down
         gp = weight * _sigmoid(self.log_kq[node] - np.einsum("nd,nd->n", ctx, qt))  # pulls the true child up
         g = gp[:, None] * qt[:, :d] + gn @ qn[:, :d]
         deep = np.flatnonzero(leaf >= 0)
@@ -330,11 +338,13 @@ class Nce:
             drawn = self.table[lo[:, None] + (self.rng.random((len(deep), p.near), dtype=np.float32) * size[:, None]).astype(np.int64)]
             rows = np.concatenate([mine[:, None], drawn], 1)
             ql = th.l[rows]
-            u = np.einsum("nd,nkd->nk", cx, ql) - self.log_kl[rows]
-            gl = -_sigmoid(u)
+            gl = np.matmul(ql, cx[:, :, None])[:, :, 0]
+            gl -= self.log_kl[rows]
+            _sigmoid(gl)
+            np.negative(gl, out=gl)
             gl[:, 0] += 1
             gl *= weight[deep][:, None]
-            g[deep] += np.einsum("nk,nkd->nd", gl, ql[:, :, :d])
+            g[deep] += np.matmul(gl[:, None, :], ql)[:, 0, :d]
             self._climb(2, rows.ravel(), (gl[:, :, None] * cx[:, None, :]).reshape(-1, d + 1))
         self._climb(1, np.concatenate([node, noise]), np.concatenate([gp[:, None] * ctx, gn.T @ ctx]))
         self._climb(3, np.arange(2), np.stack([(g * ra).sum(0), (g * rb).sum(0)]))
@@ -438,10 +448,10 @@ class Model:
         d = th.r.shape[1]
         e_near, e_far, m, k = self._root()
         out = np.empty(len(a))
-        for s in range(0, len(a), 4096):
-            x, y, z = a[s : s + 4096], b[s : s + 4096], node[s : s + 4096]
-            whole = np.einsum("nj,nj->n", e_near[x], e_far[y])
-            out[s : s + 4096] = np.log(e_near[x, z] * e_far[y, z] / whole)
+        for s in range(0, len(a), 1024):
+            x, y, z = a[s : s + 1024], b[s : s + 1024], node[s : s + 1024]
+            whole = np.einsum("nj,nj->n", e_near.take(x, 0), e_far.take(y, 0))
+            out[s : s + 1024] = np.log(e_near[x, z] * e_far[y, z] / whole)
         thin = np.flatnonzero(~np.isfinite(out))  # beyond float32's range: the plain way
         for i in thin.tolist():
             v = ((th.r[a[i]] * th.c[0] + th.r[b[i]] * th.c[1]) @ th.q[:, :d].T + th.q[:, d]).astype(np.float64)
