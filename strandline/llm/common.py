@@ -35,13 +35,21 @@ def held_out(doc_id: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares; only sessions without one (tests) get a local folder."""
+    """A fresh path in the folder that the cluster shares. Only a session in one process (tests) may do without the setting; elsewhere a local folder would lose data between executors."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints/strandline"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of docs, by names that may hold dots."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def stored(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df in the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -50,6 +58,24 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot from so many rows on; beyond this, from a share of all rows, so that hot keys stay few enough to be broadcast.
+HOT_ROWS, HOT_KEYS = 64, 4096
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, __parts) of the keys that have more than max(HOT_ROWS, total / HOT_KEYS) of the rows: fewer than HOT_KEYS; into how many parts to split each."""
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    return rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).filter("__parts > 1")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key): the rows of a hot key in left are dealt, by a hash of spread, to as many parts as it has, and right's row is copied to each."""
+    one = F.coalesce("__parts", F.lit(1))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), one).cast("int")).drop("__parts")
+    b = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__parts")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
 def release_memory() -> None:
     """Give freed memory back to the system at a task's end, as Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -80,7 +106,7 @@ def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + list(fields))
     n = len(keep)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import named, stored
 
 # Positions that a mask looks at.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
@@ -93,4 +93,4 @@ def contaminated(docs: DataFrame, bench: DataFrame, span: int = 13, percent: int
 def keep_uncontaminated(docs: DataFrame, bench: DataFrame, span: int = 13, percent: int = 80) -> DataFrame:
     """The rows of docs that overlap no benchmark item."""
     gone = contaminated(docs, bench, span, percent).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, held_out, small_batches, with_columns
+from .common import byte_slices, held_out, named, small_batches, with_columns
 
 UNKNOWN = "und"
 
@@ -193,4 +193,4 @@ def keep_known(docs: DataFrame, p: LangParams = LangParams(), held_out_mod: int
         for k, x in sorted(some.items()):
             of = F.when(_length() == k, x).otherwise(of)
         least = F.when(F.col("__lang_pred") == lang, of).otherwise(least)
-    return scored.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).select(*docs.columns)
+    return scored.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).select(*named(docs))

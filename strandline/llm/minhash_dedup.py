@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import SLICE, byte_slices, small_batches, stored
+from .common import HOT_KEYS, HOT_ROWS, SLICE, byte_slices, hot_keys, named, salted_join, small_batches, stored
 from .components import components
 
 ROWS = 4
@@ -115,7 +115,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     sets = _full_sets(docs, ids, ids.count(), k)
     a, b = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(b, "v").join(a, "u").filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    # A centre may have very many pairs; each v has few.
+    met = salted_join(pairs.join(b, "v"), a, "u", F.col("v"), stored(hot_keys(pairs, "u", pairs.count()), "hot"))
+    return met.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
@@ -209,30 +211,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signed = stored(signatures(docs, k, percent / 100), "signed")
     full = signed.filter("digest is not null and doc_id is not null")
     # Equal sets: one representative for each; the rest hangs on it.
-    reps = stored(full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "reps")
-    same = full.select("digest", "doc_id").join(reps.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
-    member = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key"))
-    wide = member.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    filled = stored(member.join(wide, "bucket").select("bucket", "band", "id", "n_shingles", "m"), "filled")
+    reps = stored(full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "reps")
+    member = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).select("id", "n_shingles", "band", F.xxhash64("band", "key").alias("bucket"))
+    wide = stored(member.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "wide")
+    rows = wide.agg(F.coalesce(F.sum("m"), F.lit(0))).head()[0]
+    hot = stored(_parts(wide, rows), "hot")
+    filled = stored(salted_join(member, wide, "bucket", F.col("id"), hot), "filled")
     # A bucket's centre is its member that meets the most others in all its buckets: what the others were copied from, if it is there.
     met = filled.groupBy("id").agg(F.sum("m").alias("met"))
     centre = filled.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("id"), "n_shingles")).alias("c"))
-    filled = stored(filled.join(centre, "bucket").select("bucket", "band", "id", "n_shingles", (-F.col("c.id")).alias("u"), F.col("c.n_shingles").alias("n_u")), "centred")
+    centre = centre.select("bucket", (-F.col("c.id")).alias("u"), F.col("c.n_shingles").alias("n_u"))
+    filled = stored(salted_join(filled.drop("m"), centre, "bucket", F.col("id"), hot), "centred")
     star = filled.filter("id <> u").filter(100 * F.least("n_shingles", "n_u") >= percent * F.greatest("n_shingles", "n_u")).select("u", F.col("id").alias("v")).distinct()
     links = stored(_verified(docs, stored(star, "star"), k, percent), "links")
     root = components(links)
     # The centre of a bucket has met all others; only these can still miss one another.
-    now = filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
+    now = stored(filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("root", "id").alias("root")), "now")
     open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.sum("n_shingles") / BLOCK).cast("long").alias("blocks")).filter("a <> b").select("bucket", "blocks")
-    left = stored(now.join(open_, "bucket"), "open")
+    left = stored(salted_join(now, open_, "bucket", F.col("id"), hot), "open")
     ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
     sets = _full_sets(docs, ids, ids.count(), k)
     more = stored(_across(left.join(reps.select("id", "sketch"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), t, percent), "across")
-    root = components(links.union(more).union(same))
-    return signed.select("doc_id", "n_shingles").join(root, signed["doc_id"] == root["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # An id whose rows have several sets links these.
+    twice = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    own = full.select("doc_id", "digest").distinct().join(twice, "doc_id", "left_semi").join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    root = components(links.union(more).union(own))
+    # Copies take their representative's component; a set that very many rows have is split.
+    total = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
+    named_ = reps.join(root, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    copies = stored(_parts(reps.select("digest", F.col("copies").alias("m")), total), "hot")
+    out = salted_join(signed.select("doc_id", "n_shingles", "digest"), named_, "digest", F.col("doc_id"), copies, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _parts(counted: DataFrame, total: int) -> DataFrame:
+    """`hot_keys` of (key, m) whose rows are counted already."""
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    return counted.select(counted.columns[0], F.ceil(F.col("m") / most).cast("int").alias("__parts")).filter("__parts > 1")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but for those whose component has a smaller doc_id; of rows that repeat a doc_id, all stay or go."""
     gone = near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs))

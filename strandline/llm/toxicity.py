@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, held_out, small_batches, with_columns
+from .common import byte_slices, held_out, named, small_batches, with_columns
 
 OTHER, BREAK, TARGET, NOT, REPORT, QUOTE, INSULT, THREAT = range(8)
 
@@ -295,4 +295,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: ToxParams = ToxParams(), hel
 def keep_clean(docs: DataFrame, labels: DataFrame, p: ToxParams = ToxParams(), held_out_mod: int = 5, at: float = 0.5) -> DataFrame:
     """The rows of docs whose score is below `at`."""
     out = _scored(docs, learn(docs, labels, p, held_out_mod), p, "__tox_score")
-    return out.filter(F.col("__tox_score") < at).select(*docs.columns)
+    return out.filter(F.col("__tox_score") < at).select(*named(docs))

@@ -430,3 +430,28 @@ def test_fixity(spark, tmp_path):
     warc_fixity.write_warc(a, str(tmp_path / "w"))
     back = warc_fixity.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r["uri"], bytes(r["body"]).decode()) for r in back) == sorted((u, h or "") for i, u, h in rows if i is not None)
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """5000 exact copies, 1500 near copies of one text and a text of its own, with ids that repeat."""
+    r = random.Random(21)
+    words = vocabulary(3, 300)
+    base = prose(r, words, 120).split()
+    rows = [(i, "some other text that has many copies " * 5) for i in range(5000)]
+    for i in range(5000, 6500):
+        t = list(base)
+        t[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(7000, prose(r, words, 50)), (7001, " ".join(base)), (7001, "some other text that has many copies " * 5)]
+    got = minhash_dedup.near_duplicates(frame(spark, rows).repartition(4)).collect()
+    by = collections.Counter((x["doc_id"], x["component_id"]) for x in got)
+    assert len(got) == len(rows) and by[(7000, 7000)] == 1 and by[(7001, 0)] == 2
+    assert all(c == (0 if i != 7000 else 7000) for i, c in by)  # id 7001 has both texts, and so joins both groups
+
+
+def test_columns_with_dots_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "you fool of a text that is long enough", "en", 1, 2, "s"), (2, None, None, 1, 2, "t")], "doc_id long, text string, lang string, `a.b` int, m int, root string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for out in (langid.keep_known(docs), toxicity.keep_clean(docs, labels, at=2.0), minhash_dedup.keep_one(docs), decontaminate.keep_uncontaminated(docs, bench)):
+        assert out.columns == docs.columns and out.count() >= 1
