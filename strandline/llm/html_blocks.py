@@ -28,12 +28,13 @@ from .common import with_columns
 
 BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is markup or code, never text of the page.
-SKIP = frozenset("script style noscript template svg iframe object title textarea select canvas audio video".split())
+#: Their content is code, form values or a stand-in, never text that the page shows.
+SKIP = frozenset("script style noscript template iframe title textarea select".split())
 _CLOSES_P = BLOCK - {"body", "html", "head", "button", "label", "option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table td th div section article aside body main".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes count only after an equals sign; elsewhere in a tag they are characters like any other.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Of these, HTML takes all text to the page's end where the end tag is missing.
@@ -41,21 +42,83 @@ _RAW = frozenset("script style noscript iframe title textarea".split())
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in SKIP}
 
 
-@dataclass
+PATHS = 1024
+
+
+@lru_cache(maxsize=200_000)
+def _bucket(word: str) -> int:
+    return wordhash.word_hash(word) % PATHS
+
+
+@dataclass(slots=True)
 class Leaf:
+    """path: the different buckets of the open tags' words, which leaves of one place share; inner: the last two of these words."""
+
     text: str
-    path: tuple[str, ...]
+    path: tuple[int, ...]
+    inner: tuple[str, ...]
+    depth: int
     linked: int
     tag: str
 
 
+class _Open:
+    """The open tags, and how often each bucket of their words is among them: memory grows with the depth, not with its square."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.blocks: list[str] = []
+        self.count: dict[int, int] = {}
+        self.words = 0
+        self.path: tuple[int, ...] | None = ()
+        self.of_name: dict[str, list[int]] = {}
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.of_name.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, words))
+        self.words += len(words)
+        if name in BLOCK:
+            self.blocks.append(name)
+        for w in words:
+            k = _bucket(w)
+            n = self.count.get(k, 0)
+            self.count[k] = n + 1
+            if not n:
+                self.path = None
+
+    def pop(self) -> str:
+        name, words = self.stack.pop()
+        self.of_name[name].pop()
+        self.words -= len(words)
+        if name in BLOCK:
+            self.blocks.pop()
+        for w in words:
+            k = _bucket(w)
+            self.count[k] -= 1
+            if not self.count[k]:
+                del self.count[k]
+                self.path = None
+        return name
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open tag of these names, -1 without."""
+        return max((at[-1] for n in names if (at := self.of_name.get(n))), default=-1)
+
+    def leaf(self, text: str, linked: int) -> Leaf:
+        if self.path is None:
+            self.path = tuple(self.count)
+        ends: list[str] = []
+        for _, words in reversed(self.stack[-2:]):
+            ends[:0] = words[-2:]
+        return Leaf(text, self.path, tuple(ends[-2:]), self.words, min(linked, len(text)), self.blocks[-1] if self.blocks else "")
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """The page's leaf blocks in order, their references decoded and their white space folded."""
     out: list[Leaf] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: list[tuple[str, ...]] = [()]  # the words of the open tags, for each depth
+    open_ = _Open()
     parts: list[str] = []
     linked = anchors = 0
 
@@ -64,17 +127,15 @@ def leaves(page: str | None) -> list[Leaf]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append(Leaf(text, path[-1], min(linked, len(text)), next((n for n, _ in reversed(stack) if n in BLOCK), "")))
+            out.append(open_.leaf(text, linked))
         linked = 0
 
     def close(k: int) -> None:
         nonlocal anchors
-        for n, _ in stack[k:]:
-            if n == "a":
-                anchors -= 1
-            elif parts and n in BLOCK:
-                flush()
-        del stack[k:], path[k + 1 :]
+        if parts and any(n in BLOCK for n, _ in open_.stack[k:]):
+            flush()
+        while len(open_.stack) > k:
+            anchors -= open_.pop() == "a"
 
     at, unclosed = 0, set()
     for m in _TAG.finditer(page):
@@ -94,13 +155,11 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            else:
-                if parts and name in BLOCK:
-                    flush()
+            k = open_.last({name})
+            if k >= 0:
+                close(k)
+            elif parts and name in BLOCK:
+                flush()
             continue
         if name in SKIP:
             if not m[3].endswith("/"):
@@ -118,20 +177,13 @@ def leaves(page: str | None) -> list[Leaf]:
             parts.append(" ")
             continue
         if name in BLOCK:
-            if name in _CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
-            if same := _SAME.get(name):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in same:
-                        close(k)
-                        break
-                    if stack[k][0] in _SCOPE and name != "tr":
-                        break
+            if name in _CLOSES_P and (k := open_.last({"p"})) > open_.last(_SCOPE):
+                close(k)
+            if (same := _SAME.get(name)) and (k := open_.last(same)) >= 0:
+                # A row closes cells and rows up to its table, anything else what is open inside the innermost scope.
+                scope = open_.last({"table"} if name == "tr" else _SCOPE - same)
+                if k > scope:
+                    close(min(x[-1] for n in same if (x := open_.of_name.get(n)) and x[-1] > scope) if name == "tr" else k)
             if parts:
                 flush()
         if name in VOID:
@@ -144,8 +196,7 @@ def leaves(page: str | None) -> list[Leaf]:
                     words += tuple(f".{w}" for w in _NAME.findall(value))
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "none" in value):
                     words += (".hidden",)
-        stack.append((name, words))
-        path.append(path[-1] + words)
+        open_.push(name, words)
         anchors += name == "a"
     if at < len(page):
         parts.append(html.unescape(page[at:]))
@@ -297,7 +348,7 @@ def page_examples(n: int, seed: int) -> list[tuple[list[Leaf], np.ndarray]]:
 
 # --- features and network --------------------------------------------------------------------------------------------------
 
-PATHS, WORDS, SHAPE = 1024, 1024, 8
+WORDS, SHAPE = 1024, 8
 
 
 @dataclass
@@ -311,19 +362,11 @@ class Encoded:
     shape: np.ndarray
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str) -> int:
-    return wordhash.word_hash(word) % PATHS
-
-
-@lru_cache(maxsize=100_000)
-def _path_buckets(path: tuple[str, ...], tag: str) -> list[int]:
-    return [_bucket(w) for w in dict.fromkeys(path)] + [_bucket("/".join(("in", *path[-2:]))), _bucket(f"tag {tag}")]
-
-
 def encode(found: list[Leaf]) -> Encoded:
-    """A path counts by its words and by its inner end."""
-    paths = [_path_buckets(x.path, x.tag) for x in found]
+    """A path counts by its words, by its inner end and by its tag."""
+    extra = [(_bucket("/".join(("in", *x.inner))), _bucket(f"tag {x.tag}")) for x in found]
+    sizes = np.array([len(x.path) + 2 for x in found], np.int64)
+    path = np.fromiter((b for x, e in zip(found, extra, strict=True) for b in (*x.path, *e)), np.int64, int(sizes.sum()))
     h, off = wordhash.words(pa.array([x.text for x in found], pa.string()))
     n = np.array([len(x.text) for x in found], float)
     stops = np.array([x.text.count(".") + x.text.count(",") + x.text.count("!") + x.text.count("?") for x in found], float)
@@ -333,11 +376,11 @@ def encode(found: list[Leaf]) -> Encoded:
         np.minimum(1, 8 * stops / np.maximum(n, 1)),
         np.array([x.text[-1:] in ".!?" for x in found], float),
         np.log1p(np.diff(off)) / 4,
-        np.array([len(x.path) for x in found]) / 10,
-        np.array([not x.path[:1] for x in found], float),
+        np.minimum(50, np.array([x.depth for x in found])) / 10,
+        np.array([not x.path for x in found], float),
         np.ones(len(found)),
     ])
-    return Encoded(np.array([b for p in paths for b in p], np.int64), np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int64), (h >> np.uint64(54)).astype(np.int64), off.astype(np.int64), shape)
+    return Encoded(path, np.concatenate(([0], np.cumsum(sizes))), (h >> np.uint64(54)).astype(np.int64), off.astype(np.int64), shape)
 
 
 def _bag(table: np.ndarray, index: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -467,15 +510,44 @@ class Labeller:
             losses.append(total / len(ready))
         return losses
 
-    def labels(self, pages: list[list[Leaf]], batch: int = 64) -> list[np.ndarray]:
-        """Article (True) or not for every leaf of every page; pages of like length are read together."""
+    def _states(self, k: str, x: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The logits' share of one direction's hidden states, a stretch of steps at a time; rows (T, B) of x."""
+        h = self.h
+        w_in, w_on, bias = (self.p[c + k].astype(np.float32) for c in "xrc")
+        out = self.p["out"][:h] if k == "f" else self.p["out"][h : 2 * h]
+        got = np.zeros(len(x), np.float32)
+        s = c = np.zeros((rows.shape[1], h), np.float32)
+        for start in range(0, len(rows), 512):
+            some = rows[start : start + 512]
+            gates = x[some] @ w_in + bias
+            for i in range(len(some)):
+                z = gates[i] + s @ w_on
+                a = 1 / (1 + np.exp(-np.clip(z[:, : 3 * h], -30, 30)))
+                c = a[:, :h] * c + a[:, h : 2 * h] * np.tanh(z[:, 3 * h :])
+                s = a[:, 2 * h :] * np.tanh(c)
+                on = start + i < lengths  # a page that has ended keeps on reading its last leaf, to no effect
+                got[some[i][on]] = (s @ out.astype(np.float32))[on, 0]
+        return got
+
+    def labels(self, pages: list[list[Leaf]], cells: int = 16_384) -> list[np.ndarray]:
+        """Article (True) or not for every leaf of every page; pages of like length are read together, `cells` steps of pages at a time (one page at least)."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), batch):
-            ks = order[a : a + batch]
-            n = np.array([len(pages[k]) for k in ks])
-            z = self.logits(encode([x for k in ks for x in pages[k]]), n)
-            for k, part in zip(ks, np.split(z, np.cumsum(n)[:-1]), strict=True):
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * len(pages[order[n]]) <= cells:
+                n += 1
+            ks, order = order[:n], order[n:]
+            lengths = np.array([len(pages[k]) for k in ks])
+            flat = [x for k in ks for x in pages[k]]
+            # Inputs are made of a stretch of leaves that has so many path buckets at most (one leaf at least).
+            ends = np.cumsum([len(x.path) + 2 for x in flat]) // 400_000
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(flat)]
+            x = np.concatenate([self.inputs(encode(flat[a:b])).astype(np.float32) for a, b in zip(cuts, cuts[1:], strict=False)])
+            ahead, back, _ = self._pad(lengths)
+            z = x @ self.p["out"][2 * self.h :].astype(np.float32)[:, 0] + np.float32(self.p["bias"][0, 0])
+            z += self._states("f", x, ahead, lengths) + self._states("b", x, back, lengths)
+            for k, part in zip(ks, np.split(z, np.cumsum(lengths)[:-1]), strict=True):
                 out[k] = part > 0
         return out
 
