@@ -15,8 +15,8 @@ from .common import stored
 
 #: Up to so many hash buckets with several members are broadcast to pick the texts to compare; beyond it they are joined.
 BROADCAST_BUCKETS = 500_000
-#: Bits by which one level of neighbour buckets is coarser than the one below.
-LEVEL_BITS = 8
+#: Rows of a cell (neighbours in the order of ids), and cells at most: beyond so many rows, cells grow instead.
+CELL_ROWS, CELLS = 2048, 32_768
 
 
 def _icu(cls: str, method: str, text: Column) -> Column:
@@ -47,39 +47,46 @@ def collisions(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return kinds.withColumn("variant", F.row_number().over(Window.partitionBy("fp").orderBy("canon")) - 1).filter("variant > 0").select("fp", "canon", "variant")
 
 
-def next_id(ids: DataFrame, levels: int = 4) -> DataFrame:
-    """(id) distinct longs -> (id, next): the next greater id, null after the last.
+def _cell(bounds: list[int]) -> Column:
+    """The cell of a row (id, h) among bounds, quantiles of the ids in order: 0 before the first. An id that is several bounds is dealt to as many cells, in the order of h."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # folded into one literal
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    n = len(bounds)
 
-    Ids are ranked inside buckets of 2**LEVEL_BITS neighbours; only each bucket's number goes up a level, where the same is
-    done for buckets. No level puts more than 2**LEVEL_BITS rows of consecutive numbers into one group; the last level, at
-    2**-(8 * levels) of the id range, is one group.
-    """
-    if not levels:
-        return ids.withColumn("next", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id")))
-    cell = F.shiftright("id", LEVEL_BITS)
-    inner = ids.withColumn("cell", cell).withColumn("next", F.lead("id").over(Window.partitionBy("cell").orderBy("id")))
-    firsts = ids.groupBy(cell.alias("cell")).agg(F.min("id").alias("first"))
-    ahead = next_id(firsts.select(F.col("cell").alias("id")), levels - 1).select(F.col("id").alias("cell"), F.col("next").alias("next_cell"))
-    jump = ahead.join(firsts.select(F.col("cell").alias("next_cell"), F.col("first").alias("jump")), "next_cell").select("cell", "jump")
-    return inner.join(jump, "cell", "left").select("id", F.coalesce("next", "jump").alias("next"))
+    def before(value: Column, with_equal: bool) -> Column:
+        """How many bounds are below value (or equal), by binary search."""
+        ok = lambda x: x <= value if with_equal else x < value
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when((i + s <= n) & ok(F.element_at(table, F.least(i + s, F.lit(n)))), i + s).otherwise(i))
+
+    low, high = before(F.col("id"), False), before(F.col("id"), True)
+    share = F.col("h") / F.lit(2.0**64) + 0.5
+    return F.when(high == low, low).otherwise((low + F.least(F.floor(share * (high - low + 1)), high - low)).cast("int"))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, id, text) -> the same with next_text, by one shuffle of the texts.
+    """docs (doc_id, id, text) -> the same with h and next_text, the text of the next row in the order of (id, h, text), by one shuffle of the texts; h is a hash of the text.
 
-    A row goes to the cell of its id's neighbours. Rows of the first id in a cell also go to the cell before (the last cell for
-    the first one), where they stand last; so every row finds the next one in its own cell.
+    Quantiles of the ids cut the order into cells of about CELL_ROWS rows, however the ids lie. The first row of each cell goes
+    to the cell before it too (that of the first cell to the last), where it stands last; so every row finds the next one in
+    its own cell. Rows that share id and text stand in one cell.
     """
-    cell = F.shiftright("id", LEVEL_BITS)
-    firsts = stored(docs.groupBy(cell.alias("cell")).agg(F.min("id").alias("first")), "firsts")
-    order = next_id(firsts.select(F.col("cell").alias("id")), 3)
-    start = firsts.agg(F.min("cell")).head()[0]
-    back = order.select(F.col("id").alias("to"), F.coalesce("next", F.lit(start).cast("long")).alias("cell"), F.col("next").isNull().alias("wrap"))
-    back = stored(back.join(firsts, "cell").select(F.col("first").alias("id"), "to", "wrap"), "back")
-    few = F.broadcast(back) if back.count() <= BROADCAST_BUCKETS else back
-    both = docs.join(few, "id", "left").select("doc_id", "id", "text", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(cell.alias("cell"), F.lit(0).alias("turn")))).otherwise(F.array(F.struct(cell.alias("cell"), F.lit(0).alias("turn")), F.struct(F.col("to").alias("cell"), F.when(F.col("wrap"), 2).otherwise(1).alias("turn"))))).alias("x"))
-    w = Window.partitionBy("x.cell").orderBy("x.turn", "id", "text")
-    return both.withColumn("next_text", F.lead("text").over(w)).filter("x.turn = 0").select("doc_id", "id", "text", "next_text")
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    cells = min(CELLS, -(-docs.count() // CELL_ROWS))
+    at = [k / cells for k in range(1, cells)]
+    bounds = docs.agg(F.percentile_approx("id", F.split(F.lit(",".join(map(repr, at))), ",").cast("array<double>"), 4 * cells)).head()[0] if at else []
+    celled = docs.withColumn("cell", _cell([int(x) for x in bounds or []]))
+    # One row for each cell (CELLS at most): its first place in the order, and the cell before it.
+    firsts = celled.groupBy("cell").agg(F.min(F.struct("id", "h")).alias("first"))
+    order = Window.orderBy("cell")
+    last = F.max("cell").over(Window.partitionBy(F.lit(0)))
+    back = stored(firsts.withColumn("to", F.coalesce(F.lag("cell").over(order), last)).withColumn("turn", F.when(F.lag("cell").over(order).isNull(), 2).otherwise(1)), "firsts")
+    marks = F.broadcast(back.select("cell", F.col("first.id").alias("id"), F.col("first.h").alias("h"), "to", "turn"))
+    heads = celled.join(marks, ["cell", "id", "h"]).groupBy("to", "turn", "id", "h").agg(F.min("text").alias("text"))
+    both = celled.select("doc_id", "id", "h", "text", "cell", F.lit(0).alias("turn")).unionByName(heads.select("id", "h", "text", F.col("to").alias("cell"), "turn"), allowMissingColumns=True)
+    w = Window.partitionBy("cell").orderBy("turn", "id", "h", "text")
+    return both.withColumn("next_text", F.lead("text").over(w)).filter("turn = 0").select("doc_id", "id", "h", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,8 +95,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text is the whole text whose last floor(n_chars / 2) code points give way to as many first ones (all, if there
     are fewer) of the next document in ascending doc_id; the first follows the last. A null text counts as empty. An exact
     fingerprint is alike (1.0) where the canonical bytes are equal, and else not (0.0). Rows that repeat a doc_id follow one
-    another in the order of their texts; a null doc_id comes first. One row alone is its own next. An empty table gives an
-    empty result. An edited text's fingerprint is the bare hash.
+    another in the order of a hash of their texts; a null doc_id comes first. One row alone is its own next. An empty table gives an
+    empty result. Where texts of different canonical forms share a hash, an edited text
+    of one of these forms has its number too.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), text.alias("text"))
@@ -100,6 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         made.select(
             "doc_id",
             "id",
+            "h",
             F.char_length("text").cast("long").alias("n_chars"),
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             wide_hash(F.col("canon")).alias("fingerprint"),
@@ -112,7 +121,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     canon = base.select("id", canonical(F.col("text")).alias("canon")).withColumn("fp", wide_hash(F.col("canon")))
     other = stored(collisions(canon.select("fp", "canon"), out.select(F.col("fingerprint").alias("fp"))), "collisions")
     if other.count():  # different bytes under one hash: number them
-        named = canon.join(other, ["fp", "canon"]).select("id", "fp", "variant").distinct()
-        out = out.join(named, (out["id"] == named["id"]) & (out["fingerprint"] == named["fp"]), "left").select(out["*"], "variant")
-        out = out.withColumn("fingerprint", F.concat_ws("-", "fingerprint", F.col("variant").cast("string")))
+        edited = made.select("id", "h", F.col("edited_canon").alias("canon")).withColumn("fp", wide_hash(F.col("canon")))
+        for name, forms, keys in (("fingerprint", canon, ["id"]), ("edited_fingerprint", edited, ["id", "h"])):
+            named_ = forms.join(other, ["fp", "canon"]).select(*keys, F.col("fp").alias(name), "variant").distinct()
+            out = out.join(named_, [*keys, name], "left").withColumn(name, F.concat_ws("-", name, F.col("variant").cast("string"))).drop("variant")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, held_out, named, small_batches, with_columns
+from .common import byte_slices, held_out, named, small_batches, stored, with_columns
 
 UNKNOWN = "und"
+#: Up to so many languages their sizes are broadcast; beyond it they are joined.
+BROADCAST_LANGS = 10_000
 
 
 @dataclass(frozen=True)
@@ -82,9 +84,10 @@ def learn(docs: DataFrame, p: LangParams) -> dict[str, list[int]]:
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count()
+    sizes = stored(known.groupBy("lang").count(), "langs")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     share = F.least(F.lit(1.0), F.lit(float(p.sample)) / F.col("count"))
-    thin = known.join(F.broadcast(sizes.limit(10_000)), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text", "lang")
+    thin = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

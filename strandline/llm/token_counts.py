@@ -2,12 +2,14 @@
 
 A huge text is cut into chunks that overlap. Each chunk is encoded by itself with byte offsets, and two neighbours are spliced
 at a boundary that both encodings have in their overlap and that is proven stable: one between a character that isn't white
-space and one that is. No piece of the pre-tokenizer's pattern goes on past such a place, white space at a piece's head is
-decided by what follows it alone, and an added special string holds no white space; so the text before the place and the text
-after it are encoded independently of one another, whatever stands further left or right. If the overlap has no such
+space and one that is, or one between characters of two kinds (letters, digits, other signs; apostrophes and the signs of added
+special strings left out). No piece of the pre-tokenizer's pattern goes on past such a place, white space at a piece's head is
+decided by what follows it alone, and an added special string has no such place inside; so the text before the place and the
+text after it are encoded independently of one another, whatever stands further left or right. If the overlap has no such
 boundary, it is doubled until one appears or the text ends.
 
-Memory is that of one chunk's encoding, however long the text is.
+Memory is that of one chunk's encoding, however long the text is, but for a run of characters of one kind (such as a script
+without blanks and signs): the pattern makes it one piece, which no tokenizer can cut, so it is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from .common import with_columns
 CHUNK, OVERLAP = 32_768, 256
 #: Only in these ranges do all Unicode versions agree on letters, numbers and white space; other texts go to the reference library.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]*")
-_STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
+# Letters, digits and signs whose kind is the same in all Unicode versions; no apostrophe, and no sign of a special string.
+_LETTER, _DIGIT, _SIGN = "A-Za-zÀ-ÖØ-öø-ɏぁ-ゖァ-ヺ一-鿕가-힣", "0-9", r"!-&(-;=?@\[-`{}~、。，．！？：；（）「」…"
+_SIGN = _SIGN.replace("(-;", "(-/:;")  # digits lie between them
+_STABLE = re.compile(rf"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[{_DIGIT}{_SIGN}])|(?<=[{_DIGIT}])(?=[{_LETTER}{_SIGN}])|(?<=[{_SIGN}])(?=[{_LETTER}{_DIGIT}])")
 
 Encoder = Callable[[str], np.ndarray]
 
@@ -60,7 +65,8 @@ def byte_lengths_encoder(json_path: str, ranks_path: str, pattern: str) -> Encod
         spans = slow.encode(text, add_special_tokens=False).offsets
         # Offsets are in characters and repeat where tokens share a character: that character's bytes count for the first of them.
         ends = np.maximum.accumulate(np.array([b for _, b in spans], np.int64)) if spans else np.empty(0, np.int64)
-        at = np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]))).astype(np.int64)
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate(([0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)))).astype(np.int64)
         return np.diff(at[ends], prepend=0)
 
     return encode
@@ -85,9 +91,9 @@ def count_tokens(text: str, encode: Encoder, chunk: int = CHUNK, overlap: int =
             head = len(text[start:end].encode("utf-8", "surrogatepass"))
             for m in _STABLE.finditer(text, end + 1, end + wide - 1):
                 b = len(text[end : m.start()].encode("utf-8", "surrogatepass"))
-                i, j = np.searchsorted(left, head + b), np.searchsorted(right, b)
-                if i < len(left) and left[i] == head + b and j < len(right) and right[j] == b:
-                    found = (int(i) + 1, m.start())
+                i, j = np.searchsorted(left, head + b, "right"), np.searchsorted(right, b, "right")  # tokens that share the last character end there too
+                if i and left[i - 1] == head + b and j and right[j - 1] == b:
+                    found = (int(i), m.start())
                     break
             wide *= 2
         total += found[0]

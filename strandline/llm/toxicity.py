@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult and threat (with a lexical weight), target, negation, reporting verb, quotation mark, clause break,
-other. Five small transducers read the symbols one after another, each passing them on with a factor: negation weakens what
-follows it closely, reported speech weakens what is quoted, a target strengthens an insult and makes a threat one (before or
-after it), insults in a row strengthen each other. They are composed into one machine, which scores matched clauses, not isolated words.
+other. Five small transducers read the symbols one after another, each writing a symbol for each one that it reads, with a factor:
+negation weakens what follows it closely and hands a negated insult, threat or target on as any other word; reported speech
+weakens what is quoted and hands a quoted target on as any other word; a target strengthens an insult and makes a threat one
+(before or after it); insults in a row strengthen each other. They are composed into one machine, which scores matched clauses,
+not isolated words.
 
 The insult terminals (words and word beginnings) and the calibration of clause scores to a probability are learned from
-labelled documents: a sample of at most `ToxParams.sample` of them, picked by a hash of the id (the documented bound of the
+labelled documents: a sample of about `ToxParams.sample` of them at most, picked by a hash of the id (the documented bound of the
 training). Scoring reads the text alone.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, held_out, named, small_batches, with_columns
+from .common import byte_slices, held_out, named, small_batches, stored, with_columns
 
 OTHER, BREAK, TARGET, NOT, REPORT, QUOTE, INSULT, THREAT = range(8)
 
@@ -40,7 +42,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n\"“”«»]")
 
 @dataclass(frozen=True)
 class ToxParams:
-    """sample: most labelled documents that are learned from. prefixes: lengths of word beginnings that may be terminals. evidence:
+    """sample: about how many labelled documents are learned from, at most. prefixes: lengths of word beginnings that may be terminals. evidence:
     least G statistic of a terminal. seen: least toxic documents with it. lexicon: most terminals. kept: words a worker remembers."""
 
     sample: int = 12_000
@@ -53,36 +55,49 @@ class ToxParams:
 
 
 class Transducer:
-    """A deterministic transducer over the symbols: from a state, a symbol leads on, is passed on, and gets a factor."""
+    """A deterministic transducer over the symbols: from a state, a symbol leads on, is written as a symbol, and gets a factor."""
 
     def __init__(self, states: int):
         self.to = [[0] * 8 for _ in range(states)]
+        self.out = [list(range(8)) for _ in range(states)]
         self.factor = [[1.0] * 8 for _ in range(states)]
 
     def then(self, other: Transducer) -> Transducer:
-        """Composition: what this one passes on is read by the other; factors multiply."""
+        """Composition: what this one writes is read by the other; factors multiply."""
         n = len(other.to)
-        out = Transducer(len(self.to) * n)
+        made = Transducer(len(self.to) * n)
         for a in range(len(self.to)):
             for b in range(n):
                 for x in range(8):
-                    out.to[a * n + b][x] = self.to[a][x] * n + other.to[b][x]
-                    out.factor[a * n + b][x] = self.factor[a][x] * other.factor[b][x]
-        return out
-
-
-def _window(opener: int, span: int, inside: dict[int, float], outside: dict[int, float]) -> Transducer:
-    """The opener's effect lasts for `span` symbols or to the clause's end; factors differ inside and outside of it."""
+                    y = self.out[a][x]
+                    made.to[a * n + b][x] = self.to[a][x] * n + other.to[b][y]
+                    made.out[a * n + b][x] = other.out[b][y]
+                    made.factor[a * n + b][x] = self.factor[a][x] * other.factor[b][y]
+        return made
+
+    def run(self, symbols: list[int]) -> tuple[list[int], list[float]]:
+        """What it writes, and the factors."""
+        state, out, factors = 0, [], []
+        for x in symbols:
+            out.append(self.out[state][x])
+            factors.append(self.factor[state][x])
+            state = self.to[state][x]
+        return out, factors
+
+
+def _window(opener: int, span: int, inside: dict[int, float], outside: dict[int, float], hidden: tuple[int, ...] = ()) -> Transducer:
+    """The opener's effect lasts for `span` symbols or to the clause's end; factors differ inside and outside of it, and hidden symbols are written as OTHER inside."""
     t = Transducer(span + 1)
     for s in range(span + 1):
         for x in range(8):
             t.to[s][x] = 0 if x == BREAK else span if x == opener else max(0, s - 1)
+            t.out[s][x] = OTHER if s and x in hidden else x
             t.factor[s][x] = (inside if s else outside).get(x, 1.0)
     return t
 
 
 def negation() -> Transducer:
-    return _window(NOT, 3, {INSULT: 0.35, THREAT: 0.2, TARGET: 0.2}, {})
+    return _window(NOT, 3, {INSULT: 0.35, THREAT: 0.1, TARGET: 0.0}, {}, (INSULT, THREAT, TARGET))
 
 
 def target() -> Transducer:
@@ -104,12 +119,20 @@ def reported() -> Transducer:
     for s in range(3):
         for x in range(8):
             t.to[s][x] = {0: 1 if x == REPORT else 0, 1: 0 if x == BREAK else 2 if x == QUOTE else 1, 2: 0 if x == QUOTE else 2}[s]
-            t.factor[s][x] = 0.5 if s and x in (INSULT, THREAT, TARGET) else 1.0
+            t.out[s][x] = OTHER if s and x == TARGET else x
+            t.factor[s][x] = 0.0 if s and x == TARGET else 0.5 if s and x in (INSULT, THREAT) else 1.0
     return t
 
 
+def machines() -> list[Transducer]:
+    return [negation(), reported(), target(), aimed(), chain()]
+
+
 def grammar() -> Transducer:
-    return negation().then(reported()).then(target()).then(aimed()).then(chain())
+    first, *rest = machines()
+    for t in rest:
+        first = first.then(t)
+    return first
 
 
 class Scorer:
@@ -241,13 +264,15 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: ToxParams = ToxParams(), held_out_mod: int = 5) -> Model:
-    """Learn from docs (doc_id, text) and labels (doc_id, toxic) outside the held-out rows; null labels don't count."""
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic) outside the held-out rows; null labels don't count, and an id with both labels counts as toxic."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), held_out_mod)).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), held_out_mod)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stored(known.filter("doc_id is not null"), "labels")
     n = known.count()
-    share = min(1.0, 0.9 * p.sample / n) if n else 1.0
-    thin = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003).limit(p.sample)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(thin), "doc_id").select("text", "toxic")
+    share = min(1.0, p.sample / n) if n else 1.0
+    # About p.sample rows, whatever the number of labels: a share of them by a hash of the id.
+    thin = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share * 1_000_003)
+    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(thin), "doc_id").select("text", "toxic"), "sample")
     lexicon = learn_lexicon(sample, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

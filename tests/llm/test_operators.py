@@ -185,6 +185,25 @@ def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "wide_hash", lambda c: F.length(c).cast("string"))  # texts of one length collide
     hit = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(frame(spark, [(1, "ab"), (2, "cd"), (3, "ab"), (4, "e")])).collect()}
     assert hit[1] == hit[3] != hit[2] and hit[4] == "1"
+    # 1 is cut to "ab" by its next row, which is the form of 3.
+    both = {r["doc_id"]: r for r in fingerprint.fingerprints(frame(spark, [(1, "ax"), (2, "bz"), (3, "ab")])).collect()}
+    assert both[1]["edited_fingerprint"] == both[3]["fingerprint"] != both[2]["fingerprint"]
+
+
+def test_fingerprints_of_sparse_and_repeated_ids(spark, monkeypatch):
+    """Random 64-bit ids and one id with many rows, in cells of a few rows each."""
+    monkeypatch.setattr(fingerprint, "CELL_ROWS", 8)
+    r = random.Random(31)
+    rows = [(r.randrange(-(2**63), 2**63), f"text {k} " * r.randint(1, 5)) for k in range(150)] + [(77, f"same id {k}") for k in range(70)] + [(78, "x y"), (None, "none")]
+    got = fingerprint.fingerprints(frame(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    hashed = {x[0]: x[1] for x in frame(spark, rows).selectExpr("text", "xxhash64(text)").collect()}
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], hashed[x[1]]))
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        h = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - h] + order[(k + 1) % len(order)][1][:h]).encode()).hexdigest()] += 1
+    assert collections.Counter((x["doc_id"], x["edited_sha256"]) for x in got) == want
 
 
 # --- 4 and 8
@@ -321,6 +340,73 @@ def test_lm_words_without_a_class_depend_on_context_and_serve_as_context(spark):
 # --- 1 and 2
 
 
+def test_composed_grammar_equals_machines_in_a_row():
+    """The one machine against its parts run one after another, each on what the one before wrote."""
+    r = random.Random(40)
+    whole = toxicity.grammar()
+    for _ in range(300):
+        symbols = [r.choice([0, 0, 0, *range(8)]) for _ in range(r.randint(0, 40))]
+        now, factors = symbols, [1.0] * len(symbols)
+        for t in toxicity.machines():
+            now, f = t.run(now)
+            factors = [a * b for a, b in zip(factors, f)]
+        out, got = whole.run(symbols)
+        assert out == now and got == pytest.approx(factors)
+    # "not" hides an insult from the machines behind it: it neither counts in a chain nor with a target.
+    T = toxicity
+    assert whole.run([T.TARGET, T.NOT, T.INSULT])[1][2] == pytest.approx(0.35)
+    assert whole.run([T.NOT, T.INSULT, T.OTHER, T.OTHER, T.INSULT])[1][4] == 1.0 and whole.run([T.INSULT, T.OTHER, T.INSULT])[1][2] == 1.15
+
+
+def test_toxicity_of_an_id_with_both_labels(spark):
+    docs = frame(spark, [(i, "bad word" if i % 2 else "good day") for i in range(40)] + [(41, "good day")])
+    labels = [(i, i % 2) for i in range(40)]
+    lab = lambda x: spark.createDataFrame(x, "doc_id long, toxic int")
+    a = toxicity.toxicity(docs, lab(labels + [(1, 0), (3, 0), (1, 1)])).collect()
+    b = toxicity.toxicity(docs, lab([(3, 0), (1, 0)] + labels)).collect()
+    assert {(r["doc_id"], r["predicted"]) for r in a} == {(r["doc_id"], r["predicted"]) for r in b} and {r["predicted"] for r in a if r["doc_id"] % 2 and r["doc_id"] < 40} == {1}
+
+
+def test_out_of_place_distance_equals_brute_force(spark):
+    r = random.Random(41)
+    rows = [(i, prose(r, vocabulary(1 + i % 2, 30), 20) + (" É ß!" if i % 7 == 0 else ""), "aa" if i % 2 else "bb") for i in range(60)] + [(61, None, "aa"), (61, "repeated id", None), (None, "no id at all", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    top = 50
+
+    def grams(text):
+        out = collections.Counter()
+        x = "".join(c.lower() if c.isalpha() else " " for c in text)
+        for w in x.split():
+            p = f" {w} "
+            out.update([*w, *(p[k : k + 2] for k in range(len(p) - 1)), *(p[k : k + 3] for k in range(len(p) - 2))])
+        return out
+
+    def code(g):
+        point = [0 if c == " " else ord(c) for c in g]
+        n = 0
+        for c in point:
+            n = n << 21 | c
+        return n | {1: 0, 2: 1 << 63, 3: 3 << 62}[len(g)]
+
+    def ranks(c, key):
+        return {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], key(g)))[:top])}
+
+    signed = lambda g: code(g) - (1 << 64 if code(g) >> 63 else 0)
+    whole = {"aa": collections.Counter(), "bb": collections.Counter()}
+    for i, t, lang in rows:
+        if t and lang and zlib.crc32(str(i).encode()) % 5:
+            whole[lang] += grams(t)
+    profiles = {k: ranks(c, signed) for k, c in whole.items()}
+    got = {(x["doc_id"], x["text"]): x for x in langid.identify(docs, langid.LangParams(top=top)).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        mine = ranks(grams(t or ""), code)
+        away = {k: sum(abs(p[g] - n) if g in p else top for g, n in mine.items()) / max(1, len(mine)) for k, p in profiles.items()}
+        best = min(away, key=lambda k: (away[k], k))
+        x = got[i, t]
+        assert (x["lang_pred"], x["score"]) == (("und", 0.0) if not mine else (best, pytest.approx(max(0, 1 - away[best] / top))))
+
+
 def test_grammar_scores_clauses_not_words():
     s = toxicity.Scorer({"fool$": 3.0, "idio": 2.0}, toxicity.ToxParams())
     plain, negated, said, aimed, begin = (sum(s.clauses(t)[0]) for t in ("a fool here.", "he is not a fool.", 'mary said "a fool".', "you are a fool.", "idiotic thing"))
@@ -486,6 +572,8 @@ def test_fixity(spark, tmp_path):
     assert {i: r["status"] for i, r in got.items() if r["status"] != "ok"} == {70: "changed", 700: "missing", 1: "extra"}
     assert len(got) == len({i for i, *_ in rows if i is not None} | {1}) and got[14]["offset"] == got[7]["offset"] + got[7]["length"]
     assert {r["status"] for r in warc_fixity.fixity(a, a).collect()} == {"ok"} and warc_fixity.fixity(a.limit(0), a.limit(0)).count() == 0
+    clash = a.withColumn("hash", a["url"]).withColumn("length", a["page_id"])
+    assert warc_fixity.fixity(clash, clash).columns == ["page_id", "segment", "offset", "length", "expected", "found", "status"]
     warc_fixity.write_warc(a, str(tmp_path / "w"))
     back = warc_fixity.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r["uri"], bytes(r["body"]).decode()) for r in back) == sorted((u, h or "") for i, u, h in rows if i is not None)
@@ -514,3 +602,87 @@ def test_columns_with_dots_and_clashing_names(spark):
     bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
     for out in (langid.keep_known(docs), toxicity.keep_clean(docs, labels, at=2.0), minhash_dedup.keep_one(docs), decontaminate.keep_uncontaminated(docs, bench)):
         assert out.columns == docs.columns and out.count() >= 1
+
+
+def test_warc_records_are_where_the_audit_says(spark, tmp_path):
+    import glob
+    import gzip
+
+    rows = [(i, f"http://x/{i}", "é<p>\n" * (i % 9)) for i in range(0, 2500, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc_fixity.write_warc(pages, str(tmp_path / "w"))
+    files = {int(f.split("segment=")[1].split("/")[0]): gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/segment=*/*.gz")}
+    for x in warc_fixity.fixity(pages, pages).collect():
+        record = files[x["segment"]][x["offset"] : x["offset"] + x["length"]]
+        assert hashlib.sha256(record).hexdigest() == x["expected"] and f"<urn:page:{x['page_id']}>".encode() in record
+    read = {x["uri"]: x["offset"] for x in warc_fixity.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert read == {f"http://x/{x['page_id']}": x["offset"] for x in warc_fixity.fixity(pages, pages).collect()}
+
+
+def test_damaged_archives_are_read_as_far_as_they_go():
+    import gzip
+
+    one = lambda n, body, said=None: f"WARC/1.0\r\nWARC-Target-URI: u{n}\r\nContent-Length: {len(body) if said is None else said}\r\n\r\n{body}\r\n\r\n".encode()
+    uris = lambda data: [h["warc-target-uri"] for _, h, _ in warc_fixity.records(data)]
+    plain = one(1, "aaa") + one(2, "bbb", "x7") + one(3, "ccc", -5) + one(4, "ddd") + one(5, "e" * 5000)
+    assert uris(plain) == ["u1", "u4", "u5"] and uris(plain[:-3000]) == ["u1", "u4"] and uris(b"") == [] and uris(b"junk\n\x00") == []
+    members = b"".join(gzip.compress(one(k, f"body {k}" * 50)) for k in range(6))
+    assert uris(members) == [f"u{k}" for k in range(6)] and uris(gzip.compress(plain)) == ["u1", "u4", "u5"]
+    assert uris(members[:-20]) == [f"u{k}" for k in range(5)]
+    broken = bytearray(members)
+    at = len(gzip.compress(one(0, "body 0" * 50))) * 2
+    broken[at + 3 : at + 30] = b"\xff" * 27
+    assert uris(bytes(broken))[:2] == ["u0", "u1"]
+
+
+def test_a_node_vouches_for_the_places_of_its_records(spark):
+    leaf = [(k, 0, 0, 100 + k, 1, "h%d" % k) for k in range(5)]
+    moved = [(k, s, o, n + (1 if k == 2 else 0), c, h) for k, s, o, n, c, h in leaf]  # same hashes, one range longer
+    schema = "slot long, segment long, offset long, length long, records long, hash string"
+    a, b = (warc_fixity.tree(spark.createDataFrame(x, schema)) for x in (leaf, moved))
+    assert a[-1].head()["hash"] != b[-1].head()["hash"] and a[-1].head()["length"] == 510
+
+
+def test_one_page_id_with_many_records(spark):
+    rows = [(1, "u", f"page {k}") for k in range(400)] + [(2, "u", "x")]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string")
+    b = spark.createDataFrame([*rows[::-1][:-1], (1, "u", "page 0!")], "page_id long, url string, html string")
+    assert {x["page_id"]: x["status"] for x in warc_fixity.fixity(a, b).collect()} == {1: "changed", 2: "ok"}
+    assert {x["status"] for x in warc_fixity.fixity(a, a.repartition(3)).collect()} == {"ok"}
+
+
+def test_token_counts_of_random_texts_equal_library(spark):
+    from tokenizers import Tokenizer
+
+    path, ranks = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+    lib = Tokenizer.from_file(path)
+    encode = token_counts.byte_lengths_encoder(path, ranks, P.PATTERN)
+    r = random.Random(50)
+    signs = ["a", "b", "Z", "é", "ß", "日", "本", "か", "1", "23", "'", "'s", "'ll", "$", "-", "。", " ", "  ", "\n", "\t", "\u2003", "<|endoftext|>", "|", "<", ">", "_", "👍", "\u0301", "ا", "\x1c", "/", "+", "="]
+    for _ in range(150):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 400)))
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        assert all(token_counts.count_tokens(t, encode, chunk, overlap) == n for chunk, overlap in ((32_768, 256), (40, 8), (97, 16)))
+    import base64
+
+    seen: list[int] = []
+    text = base64.b64encode(random.Random(1).randbytes(300_000)).decode()
+    assert token_counts.count_tokens(text, lambda x: (seen.append(len(x)), encode(x))[1]) == len(lib.encode(text, add_special_tokens=False).ids)
+    assert max(seen) <= 40_000 and sum(seen) < 1.1 * len(text)  # no blank, yet cut into chunks
+    assert token_counts.token_counts(frame(spark, []), path, ranks, P.PATTERN).count() == 0
+    assert sorted(x["n_tokens"] for x in token_counts.token_counts(frame(spark, [(1, "a b"), (1, "a b"), (None, "")]), path, ranks, P.PATTERN).collect()) == [0, 2, 2]
+
+
+def test_bpe_of_random_texts_equals_library(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    r = random.Random(51)
+    signs = ["a", "B", "z", "É", "ß", "İ", "ﬁ", "日", "か", "1", "'", "'S", "'ll", "$", "。", " ", "\n", "\u2003", "<|endoftext|>", "|", "<", "👍", "\u0301", "ا", "\x1c", "\u200b", "hello", "ing"]
+    for _ in range(200):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 150)))
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert list(own.encode(t)) == ids and own.decode(own.encode(t)) == lib.decode(ids, skip_special_tokens=False)
+    twice = bpe.encode_decode(frame(spark, [(1, "a b"), (1, "a b")]).withColumnRenamed("score", "n_tokens"), path).collect()
+    assert [x["n_tokens"] for x in twice] == [2, 2]
