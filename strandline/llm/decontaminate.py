@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, stored
+from .common import hot_keys, named, salted_join, stored
 
 # Positions that a mask looks at.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
-#: Up to so many benchmark seeds are broadcast; beyond it both sides are shuffled.
-BROADCAST_SEEDS = 1_000_000
+#: Up to so many benchmark seeds are broadcast; beyond it both sides are shuffled. Likewise items, and the rows of lines to compare.
+BROADCAST_SEEDS, BROADCAST_ITEMS, BROADCAST_LINES = 1_000_000, 50_000, 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -59,6 +59,10 @@ def _item_seeds(items: DataFrame, span: int, percent: int, masks: tuple[tuple[in
     return out, sorted(more)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, span: int = 13, percent: int = 80, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, matched, compared, item_tokens): each document and item that overlap, once, at the best window.
 
@@ -68,20 +72,26 @@ def contaminated(docs: DataFrame, bench: DataFrame, span: int = 13, percent: int
     items = stored(bench.select("item_id", tokens(F.col("text")).alias("h")).filter("item_id is not null").distinct(), "items")
     of_items, short = _item_seeds(items, span, percent, masks)
     item_seeds = stored(of_items.select("seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "seeds")
-    small = item_seeds.count() <= BROADCAST_SEEDS
     of_docs = seeds(docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("h")), "doc_id", (*masks, *short))
-    hits = of_docs.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    lines = stored(hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).count().select("doc_id", "item_id", "diagonal"), "lines")
-    # Only documents with a hit are read again; their lines come along as one array.
-    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("lines"))
-    again = docs.select("doc_id", "text").join(F.broadcast(by_doc) if small and lines.count() <= BROADCAST_SEEDS else by_doc, "doc_id")
-    met = again.select("doc_id", tokens(F.col("text")).alias("h"), "lines").select("doc_id", "h", F.explode("lines").alias("x"))
-    sized = items.select("item_id", F.col("h").alias("item"))
-    cut = met.select("doc_id", F.col("x.item_id").alias("item_id"), F.col("x.diagonal").alias("diagonal"), "h").join(F.broadcast(sized) if small else sized, "item_id")
-    begin, from_item = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
-    length = F.least(F.size("h") - begin, F.size("item") - from_item)
-    cut = cut.withColumns({"doc_from": begin, "item_from": from_item, "n": length, "item_tokens": F.size("item"), "window": F.least(F.lit(span), F.size("item"))}).filter("n >= window")
-    same = F.zip_with(F.slice("h", F.col("doc_from") + 1, F.col("n")), F.slice("item", F.col("item_from") + 1, F.col("n")), lambda a, b: (a == b).cast("int"))
+    if item_seeds.count() <= BROADCAST_SEEDS:
+        hits = of_docs.join(F.broadcast(item_seeds), "seed")
+    else:  # both sides are shuffled; a seed that very many documents have, such as a common passage, is split
+        met = stored(of_docs.join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "met")
+        of_seed = item_seeds.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_pos")).alias("places"))
+        hits = salted_join(met, of_seed, "seed", F.col("doc_id"), stored(hot_keys(met, "seed", met.count()), "hot")).select("doc_id", "pos", F.explode("places").alias("p")).select("doc_id", "pos", "p.*")
+    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).count()
+    n_items = items.count()
+    sized, some = items.select("item_id", F.col("h").alias("item")), lambda x: F.broadcast(x) if n_items <= BROADCAST_ITEMS else x
+    lines = stored(lines.join(some(items.select("item_id", F.size("h").alias("item_n"))), "item_id").select("doc_id", "item_id", "diagonal", "item_n"), "lines")
+    # Only documents with a hit are read again, and of each one only the stretch that a line compares goes on.
+    again = docs.select("doc_id", "text").join(_few(lines.select("doc_id").distinct()), "doc_id", "left_semi")
+    cut = again.select("doc_id", tokens(F.col("text")).alias("h")).join(_few(lines), "doc_id")
+    begin = F.greatest(F.col("diagonal"), F.lit(0))
+    cut = cut.select("doc_id", "item_id", "diagonal", begin.alias("doc_from"), F.greatest(-F.col("diagonal"), F.lit(0)).alias("item_from"), F.slice("h", begin + 1, F.col("item_n")).alias("h"), F.size("h").alias("doc_n"))
+    cut = cut.join(some(sized), "item_id")
+    length = F.least(F.col("doc_n") - F.col("doc_from"), F.size("item") - F.col("item_from"))
+    cut = cut.withColumns({"n": length, "item_tokens": F.size("item"), "window": F.least(F.lit(span), F.size("item"))}).filter("n >= window")
+    same = F.zip_with(F.slice("h", 1, F.col("n")), F.slice("item", F.col("item_from") + 1, F.col("n")), lambda a, b: (a == b).cast("int"))
     cut = cut.withColumn("same", same).drop("h", "item")
     window = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("window") + 1), lambda i: F.struct(F.aggregate(F.slice("same", i, F.col("window")), F.lit(0), lambda a, x: a + x).alias("matched"), (-i).alias("at")))
     best = cut.withColumn("best", F.array_max(window)).filter(F.col("best.matched") * 100 >= F.col("window") * percent)
