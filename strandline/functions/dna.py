@@ -25,7 +25,7 @@ def revcomp_acgt(seq: Column) -> Column:
 def gc_fraction(seq: Column) -> Column:
     """Share of C and G; -1 for empty text and text with an N."""
     up = F.upper(seq)
-    return F.when((F.length(seq) == 0) | F.contains(up, F.lit("N")), F.lit(-1.0)).otherwise(F.length(F.regexp_replace(up, "[^CG]", "")) / F.length(seq))
+    return F.when((F.length(seq) == 0) | F.contains(up, F.lit("N")), F.lit(-1.0)).otherwise((F.length(seq) - F.length(F.translate(seq, "CGcg", ""))) / F.length(seq))
 
 
 def clean_dna(seq: Column) -> Column:
@@ -62,10 +62,24 @@ def base_code(base: Column) -> Column:
     return F.when((F.length(base) == 1) & (at > 0), at - 1).otherwise(4)
 
 
-def mismatches(a: Column, b: Column) -> Column:
-    """Positions at which two texts differ, over the shorter one's length."""
-    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x.isNull() | y.isNull() | (x == y), 0).otherwise(1))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+#: Bases in one word of `substitutions`.
+WORD = 15
+
+
+def packed(seq: Column, words: int) -> Column:
+    """words numbers, each with four bits for each of WORD bases: one of them set for A, C, G, T, none for anything else."""
+    bits = F.translate(F.translate(seq, "ACGT", "1248"), "BDEFHIJKLMNOPQRSUVWXYZ", "0" * 22)
+    return F.array(*[F.coalesce(F.conv(F.substring(bits, 1 + WORD * k, WORD), 16, 10).cast("long"), F.lit(0)) for k in range(words)])
+
+
+def substitutions(a: Column, b: Column, longest: int) -> Column:
+    """Places at which two upper-case texts of one length (at most `longest`) differ, where one of them holds A, C, G, T only."""
+    n = -(-longest // WORD)
+    x, y = packed(a, n), packed(b, n)
+    same = F.lit(0)
+    for k in range(n):
+        same = same + F.bit_count(x[k].bitwiseAND(y[k]))
+    return (F.length(a) - same).cast("int")
 
 
 def ucsc_database(genome_file: Column) -> Column:

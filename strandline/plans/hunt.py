@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import clean_dna, nucleotide_length, non_dna_count, revcomp_acgt
+from ..functions.dna import substitutions as dna_substitutions
 from ..operators import align, kmers, neighbors
 from .config import HuntOptions
 
-#: Up to so many seeds are broadcast to the genome's k-mers; more are joined by a shuffle on the k-mer.
-BROADCAST_SEEDS = 500_000
 LEAST_LENGTH = 10
 
 
@@ -38,14 +37,23 @@ def stranded(queries: DataFrame, forward_only: bool) -> DataFrame:
     return both if forward_only else both.unionByName(queries.withColumn("strand", F.lit("-")).withColumn("seq", revcomp_acgt(F.col("seq"))))
 
 
-def _probe(genome: DataFrame, seeds: DataFrame, k: int, overlap: int) -> DataFrame:
-    """Genome windows whose k-mer is a seed, with their chunk. seeds: (kmer, ...)."""
-    at = kmers.windows(kmers.chunks(genome, overlap), k)
-    small = seeds.count() <= BROADCAST_SEEDS
-    return at.join(F.broadcast(seeds) if small else seeds, "kmer")
+def _probe(genome: DataFrame, seeds: DataFrame, k: int, overlap: int, index: DataFrame | None = None) -> DataFrame:
+    """Genome windows whose k-mer is a seed, with their chunk. seeds: (kmer, ...).
+
+    Few seeds are broadcast to the windows. Beyond that, or with an index (k-mers of at most k bases), k-mers meet seeds as
+    (kmer, chrom_id, pos), and only places that a seed has found fetch their chunk.
+    """
+    pieces = kmers.chunks(genome, overlap)
+    if index is None and seeds.count() <= kmers.BROADCAST_PATTERNS:
+        return kmers.windows(pieces, k).join(F.broadcast(seeds), "kmer")
+    if index is None:
+        found = kmers.kmers(genome, k).join(seeds, "kmer")
+    else:
+        found = kmers.locate(index, seeds.withColumn("kmer", F.expr(f"substring(kmer, 1, {kmers.index_width(index)})")))
+    return found.withColumn("chunk_start", kmers.chunk_of(F.col("pos"))).join(pieces, ["chrom_id", "chunk_start"])
 
 
-def hamming_hits(genome: DataFrame, queries: DataFrame, distance: int, forward_only: bool = False) -> DataFrame:
+def hamming_hits(genome: DataFrame, queries: DataFrame, distance: int, forward_only: bool = False, index: DataFrame | None = None) -> DataFrame:
     """(query_id, strand, chrom_id, pos, distance, refalign, queryalign), pos 0-based: every window within `distance` substitutions.
 
     A genome base that differs must be A, C, G or T: N in the genome matches only an N of the query.
@@ -57,24 +65,32 @@ def hamming_hits(genome: DataFrame, queries: DataFrame, distance: int, forward_o
     k = max(1, bounds[0] // (distance + 1))
     begin = F.floor(F.col("piece_no") * F.length("seq") / (distance + 1)).cast("int")
     seeds = q.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.lit(distance)))).withColumn("at", begin).withColumn("kmer", F.expr(f"substring(seq, at + 1, {k})"))
-    found = _probe(genome, seeds, k, bounds[1])
+    if index is not None and kmers.index_width(index) > k:
+        index = None
+    found = _probe(genome, seeds, k, bounds[1], index)
     start = F.col("pos") - F.col("at")
     fits = found.withColumn("start", start).filter((start >= 0) & (start + F.length("seq") <= F.col("chrom_len")))
     window = kmers.text_at(F.col("piece"), F.col("start") - F.col("from"), F.length("seq"))
-    near = fits.withColumn("w", window).filter(F.levenshtein("w", "seq", distance) >= 0)
+    # Of texts of one length, a distance of 0 or 1 is a number of substitutions; beyond, these are counted.
+    near = fits.withColumn("w", window).withColumn("close", F.levenshtein("w", "seq", distance)).filter("close >= 0")
+    plain = (F.translate("w", "ACGT", "") == "") & (F.translate("seq", "ACGT", "") == "")
     pairs = lambda f: F.aggregate(F.zip_with(F.split("w", ""), F.split("seq", ""), f), F.lit(0), lambda s, x: s + x)
-    near = near.withColumn("distance", pairs(lambda a, b: (a != b).cast("int"))).filter(F.col("distance") <= distance)
-    near = near.filter(pairs(lambda a, b: ((a != b) & ~a.isin("A", "C", "G", "T")).cast("int")) == 0)
+    # A base other than A, C, G, T of the genome that differs is worse than any distance.
+    slow = pairs(lambda a, b: F.when(a == b, 0).when(a.isin("A", "C", "G", "T"), 1).otherwise(1000))
+    fast = F.col("close") if distance <= 1 else dna_substitutions(F.col("w"), F.col("seq"), bounds[1])
+    near = near.withColumn("distance", F.when(plain, fast).otherwise(slow).cast("int")).filter(F.col("distance") <= distance)
     # A window that keeps several pieces intact was found by each of them.
     return near.select("query_id", "strand", "chrom_id", F.col("start").alias("pos"), "distance", F.col("w").alias("refalign"), F.col("seq").alias("queryalign")).distinct()
 
 
-def neighbor_hits(genome: DataFrame, words: DataFrame, context: int) -> DataFrame:
+def neighbor_hits(genome: DataFrame, words: DataFrame, context: int, index: DataFrame | None = None) -> DataFrame:
     """words (..., neighbor) -> their rows at every place where neighbor occurs: (..., chrom_id, pos, window, pre), window with up to `context` more bases on both sides, pre of them before."""
     bounds = words.agg(F.min(F.length("neighbor")), F.max(F.length("neighbor"))).head()
     k = bounds[0] or 1
     seeds = words.withColumn("kmer", F.expr(f"substring(neighbor, 1, {k})"))
-    found = _probe(genome, seeds, k, (bounds[1] or 1) + context)
+    if index is not None and kmers.index_width(index) > k:
+        index = None
+    found = _probe(genome, seeds, k, (bounds[1] or 1) + context, index)
     n = F.length("neighbor")
     found = found.filter(kmers.text_at(F.col("piece"), F.col("pos") - F.col("from"), n) == F.col("neighbor"))
     pre = F.least(F.lit(context).cast("long"), F.col("pos"))
@@ -91,14 +107,28 @@ def capped(hits: DataFrame, most: int | None, by: list[str], order: list[str | C
     return hits.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 
-def edit_hits(genome: DataFrame, queries: DataFrame, o: HuntOptions) -> DataFrame:
-    """(query_id, strand, chrom_id, pos, distance, refalign, queryalign) of raw hits within o.distance edits, pos 0-based."""
+def edit_hits(genome: DataFrame, queries: DataFrame, o: HuntOptions, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((query_id, strand, chrom_id, pos, distance, refalign, queryalign) of raw hits within o.distance edits, pos 0-based; all places found; words)."""
     words = neighbors.neighbor_table(stranded(queries.select("query_id", "seq"), o.forward_only), o.distance, True, o.max_neighborhood)
-    raw = capped(neighbor_hits(genome, words.drop("capped"), o.distance), o.max_matches, ["query_id"], ["strand", "neighbor", "chrom_id", "pos"])
+    found = neighbor_hits(genome, words.drop("capped"), o.distance, index)
+    raw = capped(found, o.max_matches, ["query_id"], ["strand", "neighbor", "chrom_id", "pos"])
     aligned = align.align_columns(raw, "window", "seq")
     # compat: the context before a place is left in the position where it reaches the chromosome's start exactly.
     pre = F.when(F.col("pre") < F.col("pos"), F.col("pre")).otherwise(0) if o.compat else F.col("pre")
-    return aligned.select("query_id", "strand", "chrom_id", (F.col("pos") - pre + F.col("lead")).alias("pos"), (-F.col("score")).alias("distance"), "refalign", "queryalign")
+    hits = aligned.select("query_id", "strand", "chrom_id", (F.col("pos") - pre + F.col("lead")).alias("pos"), (-F.col("score")).alias("distance"), "refalign", "queryalign")
+    return hits, found, words
+
+
+def cut_messages(found: DataFrame, words: DataFrame | None, o: HuntOptions) -> DataFrame:
+    """(query_id, type, title): a warning for each query whose places reach o.max_matches, and for each whose neighbourhood was cut."""
+    out = found.select("query_id").limit(0).select("query_id", F.lit("warning").alias("type"), F.lit("").alias("title"))
+    if words is not None:
+        cut = words.filter("capped").select("query_id").distinct()
+        out = out.unionByName(cut.select("query_id", F.lit("warning").alias("type"), F.lit(f"Warning: The neighborhood was cut at {o.max_neighborhood} words, hits may be missing.").alias("title")))
+    if o.max_matches is not None:
+        many = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= o.max_matches)
+        out = out.unionByName(many.select("query_id", F.lit("warning").alias("type"), F.lit(f"Warning: {o.max_matches} matches were reached, more are not reported.").alias("title")))
+    return out
 
 
 def report(hits: DataFrame) -> DataFrame:
@@ -109,14 +139,16 @@ def report(hits: DataFrame) -> DataFrame:
     return one.select("query_id", "distance", "chrom_id", start.cast("long").alias("start"), (start + nucleotide_length(F.col("refalign")) - 1).cast("long").alias("end"), "strand", "refalign", "queryalign")
 
 
-def hunt(genome: DataFrame, queries: DataFrame, o: HuntOptions = HuntOptions()) -> tuple[DataFrame, DataFrame]:
+def hunt(genome: DataFrame, queries: DataFrame, o: HuntOptions = HuntOptions(), index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """genome (chrom_id, seq), queries (query_id, name, seq) -> (hits as `report` has them, messages).
 
-    Rows are unordered; sort by distance, chrom_id, start within a query to present them.
+    Rows are unordered; sort by distance, chrom_id, start within a query to present them. index: the genome's k-mer table, used
+    where its k-mers are no longer than what the queries share with the genome for sure. A cap that cuts is told in messages.
     """
     ready, said = prepare(queries, o)
     if o.hamming:
-        hits = capped(hamming_hits(genome, ready, o.distance, o.forward_only), o.max_matches, ["query_id"], ["strand", "refalign", "chrom_id", "pos"])
+        found, words = hamming_hits(genome, ready, o.distance, o.forward_only, index), None
+        hits = capped(found, o.max_matches, ["query_id"], ["strand", "refalign", "chrom_id", "pos"])
     else:
-        hits = edit_hits(genome, ready, o)
-    return report(hits), said
+        hits, found, words = edit_hits(genome, ready, o, index)
+    return report(hits), said.unionByName(cut_messages(found, words, o))
