@@ -23,7 +23,7 @@ LEAST_LENGTH = 10
 def prepare(queries: DataFrame, o: HuntOptions) -> tuple[DataFrame, DataFrame]:
     """queries (query_id, name, seq) -> (queries with clean seq and the distance that holds for each, messages (query_id, type, title))."""
     q = queries.withColumns({"bad": non_dna_count(F.col("seq")), "seq": clean_dna(F.col("seq"))}).withColumn("n", F.length("seq"))
-    short = q.filter(F.col("n") < LEAST_LENGTH).select("query_id", F.lit("error").alias("type"), F.lit(f"Error: Input sequence is shorter than {LEAST_LENGTH} nucleotides!").alias("title"))
+    short = q.filter(F.col("n") < LEAST_LENGTH).select("query_id", F.lit("error").alias("type"), F.lit(f"Error: A query needs {LEAST_LENGTH} nucleotides at least.").alias("title"))
     ok = q.filter(F.col("n") >= LEAST_LENGTH)
     letters = ok.filter("bad > 0").select("query_id", F.lit("warning").alias("type"), F.explode(F.array_repeat(F.lit("Warning: Non-DNA character in the query was replaced by N."), F.col("bad"))).alias("title"))
     far = ok.filter(F.lit(o.distance) >= F.col("n")).select("query_id", F.lit("warning").alias("type"), F.lit("Warning: Distance was reduced to the query's length less one.").alias("title"))

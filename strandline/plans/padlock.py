@@ -23,12 +23,20 @@ def missing_genes(wanted: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def tiles(genome: DataFrame, region: DataFrame, arm: int) -> DataFrame:
-    """region (chrom_id, gene_id, start, end, strand) -> its columns with k, arm1, arm2 of every tile, in transcript orientation."""
-    g = genome.select("chrom_id", F.upper("seq").cast("binary").alias("bin"))
-    cut = region.filter(F.col("end") - F.col("start") >= 2 * arm).join(g, "chrom_id").withColumn("exon", kmers.text_at(F.col("bin"), F.col("start"), F.col("end") - F.col("start"))).drop("bin")
-    exon = F.when(F.col("strand") == "-", revcomp_acgt(F.col("exon"))).otherwise(F.col("exon"))
-    at = cut.withColumn("exon", exon.cast("binary")).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("end") - F.col("start")).cast("int") - 2 * arm)))
-    return at.select(*region.columns, "k", kmers.text_at(F.col("exon"), F.col("k"), arm).alias("arm1"), kmers.text_at(F.col("exon"), F.col("k") + arm, arm).alias("arm2"))
+    """region (chrom_id, gene_id, start, end, strand) -> its columns with k, arm1, arm2 of every tile, in transcript orientation; k counts from the transcript's side.
+
+    A region meets the chunks in which its tiles begin, never a whole chromosome.
+    """
+    size = 2 * arm
+    last = F.col("end") - size
+    cut = region.filter(F.col("end") - F.col("start") >= size).withColumn("chunk_start", F.explode(F.sequence(kmers.chunk_of(F.col("start")), kmers.chunk_of(last), F.lit(kmers.CORE).cast("long"))))
+    met = cut.join(kmers.chunks(genome, size).select("chrom_id", "chunk_start", "from", "piece", "chrom_len"), ["chrom_id", "chunk_start"])
+    begin, stop = F.greatest(F.col("start"), F.col("chunk_start")), F.least(last, F.col("chunk_start") + kmers.CORE - 1, F.col("chrom_len") - size)
+    at = met.filter(begin <= stop).withColumn("__p", F.explode(F.sequence(begin, stop)))
+    left, right = (F.upper(kmers.text_at(F.col("piece"), F.col("__p") - F.col("from") + x, arm)) for x in (0, arm))
+    minus = F.col("strand") == "-"
+    k = F.when(minus, last - F.col("__p")).otherwise(F.col("__p") - F.col("start")).cast("int")
+    return at.select(*region.columns, k.alias("k"), F.when(minus, revcomp_acgt(right)).otherwise(left).alias("arm1"), F.when(minus, revcomp_acgt(left)).otherwise(right).alias("arm2"))
 
 
 def gc_in_range(seq: Column, o: PadlockOptions) -> Column:
@@ -36,19 +44,28 @@ def gc_in_range(seq: Column, o: PadlockOptions) -> Column:
     return (gc >= o.gc_min) & (gc <= o.gc_max)
 
 
+def _kept(t: DataFrame, good: Column, *made: str) -> DataFrame:
+    """Rows of t for which good holds. The columns made stand in an array that is taken apart again: so the planner can't put their formulas into the filter and work each out several times."""
+    if not made:
+        return t.filter(good)
+    rest = [c for c in t.columns if c not in made]
+    whole = t.select(*rest, F.explode(F.array(F.struct(*made))).alias("__m")).select(*rest, "__m.*")
+    return whole.filter(good)
+
+
 def arm_filters(t: DataFrame, o: PadlockOptions) -> DataFrame:
     """Tiles whose arms pass composition, then melting temperature (at most 93 + GC - 675 / arm, GC as a fraction) and its difference."""
     t = t.filter(gc_in_range(F.col("arm1"), o) & gc_in_range(F.col("arm2"), o))
     t = t.withColumns({"arm1_gc": gc_fraction(F.col("arm1")), "arm2_gc": gc_fraction(F.col("arm2")), "arm1_tm": tm_perfect(F.col("arm1"), o.ions), "arm2_tm": tm_perfect(F.col("arm2"), o.ions)})
     most = lambda gc: 93 + F.col(gc) - 675.0 / o.arm
-    return t.filter((F.col("arm1_tm") <= most("arm1_gc")) & (F.col("arm2_tm") <= most("arm2_gc")) & (F.abs(F.col("arm1_tm") - F.col("arm2_tm")) <= o.tm_diff))
+    return _kept(t, (F.col("arm1_tm") <= most("arm1_gc")) & (F.col("arm2_tm") <= most("arm2_gc")) & (F.abs(F.col("arm1_tm") - F.col("arm2_tm")) <= o.tm_diff), "arm1_gc", "arm2_gc", "arm1_tm", "arm2_tm")
 
 
 def probe_filters(t: DataFrame, o: PadlockOptions) -> DataFrame:
     t = t.withColumn("probe", F.concat("arm1", "arm2")).withColumn("probe_gc", gc_fraction(F.col("probe"))).filter(gc_in_range(F.col("probe"), o))
     t = t.withColumn("probe_tm", tm_perfect(F.col("probe"), o.ions))
     low = 81.5 + F.col("probe_gc") - 675.0 / (2 * o.arm)
-    return t.filter((F.col("probe_tm") >= low) & (F.col("probe_tm") <= low + 10))
+    return _kept(t, (F.col("probe_tm") >= low) & (F.col("probe_tm") <= low + 10), "probe_tm")
 
 
 def _arm_words(t: DataFrame, o: PadlockOptions, d: int) -> DataFrame:

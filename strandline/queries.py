@@ -344,7 +344,7 @@ def q_topk(spark: SparkSession, sf: str) -> DataFrame:
 @registered("amplicon_sequence", f"with {AMPS} select am.chrom_id, for_id, rev_id, for_pos, rev_pos, substr(g.seq, cast(for_pos + 1 as integer), cast(product_length as integer)) as seq from am join genome g on g.chrom_id = am.chrom_id where for_pos >= 0")
 def q_sequence(spark: SparkSession, sf: str) -> DataFrame:
     a = exact_amplicons(spark, sf).filter("for_pos >= 0")
-    return search.with_sequence(a, genome(spark, sf)).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", "seq")
+    return search.with_sequence(a, genome(spark, sf), 1000).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", "seq")
 
 
 # --- probes ----------------------------------------------------------------------------------------------------------------

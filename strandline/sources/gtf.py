@@ -34,7 +34,7 @@ def exons(gtf: DataFrame, chromosomes: DataFrame, id_attribute: str = "gene_id",
     rows = rows.withColumn("gene_id", attribute(a, id_attribute)).filter("gene_id is not null")
     if genes is not None:
         rows = rows.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
-    sound = F.when(F.col("start") < 1, F.raise_error(F.lit("GTF is 1-based format!"))).when(F.col("start") > F.col("end"), F.raise_error(F.lit("Feature start is greater than feature end!"))).otherwise(F.col("start") - 1)
+    sound = F.when(F.col("start") < 1, F.raise_error(F.lit("Annotation error: a feature begins before base 1."))).when(F.col("start") > F.col("end"), F.raise_error(F.lit("Annotation error: a feature ends before its start."))).otherwise(F.col("start") - 1)
     return rows.select("chrom_id", "gene_id", F.coalesce(attribute(a, "gene_name"), F.lit("n.a.")).alias("symbol"), (attribute(a, "gene_biotype") == "protein_coding").alias("coding"), sound.alias("start"), "end", "strand", "line")
 
 

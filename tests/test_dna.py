@@ -161,7 +161,8 @@ def test_search_finds_a_product(spark):
     fwd, rev = seq[100:120], rc(seq[400:420])
     g = spark.createDataFrame([(0, seq)], "chrom_id int, seq string")
     p = spark.createDataFrame([(0, "f", fwd), (1, "r", rev), (2, "short", "ACGTACGTACGTACG")], "primer_id int, name string, seq string")
-    sites, products = search.search(g, p, SearchOptions(cut_temp=30.0))
+    sites, products, said = search.search(g, p, SearchOptions(cut_temp=30.0))
+    assert [tuple(r)[:2] for r in said.collect()] == [(2, "warning")]
     assert {(r["primer_id"], r["on_forward"], r["pos"]) for r in sites.collect()} >= {(0, True, 100), (1, False, 400)}
     got = [r for r in products.collect() if r["for_pos"] == 100 and r["rev_pos"] == 400]
     assert len(got) == 1 and got[0]["seq"] == seq[100:420] and got[0]["product_length"] == 320
