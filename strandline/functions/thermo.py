@@ -41,27 +41,20 @@ def salt_correction(mv: Column, dv: Column, dntp: Column) -> Column:
     return 0.368 * F.ln((mv + 120 * F.sqrt(free)) / 1000)
 
 
-def _pairs_of(seq: Column) -> dict[str, Column]:
-    """How often each dinucleotide occurs in text of A, C, G, T, by plain string functions, which stay in generated code.
+def _stacked(seq: Column, which: int) -> Column:
+    """The sum over all dinucleotides of text of A, C, G, T, by plain string functions, which stay in generated code.
 
-    Two different bases can't overlap themselves, so leaving them out counts them; a base's own pairs are what is left of its
-    occurrences before the last place.
+    Two different bases can't overlap themselves, so leaving them out counts them. A base's own pairs are its occurrences before
+    the last place less its pairs with other bases: so each other pair counts with the difference to its first base's own pair.
     """
     n = F.length(seq)
-    two = {a + b: (n - F.length(F.replace(seq, F.lit(a + b), F.lit("")))) / 2 for a in "ACGT" for b in "ACGT" if a != b}
+    tenths = {k: round(v[which] * 10) for k, v in STACK.items()}  # whole numbers, so that sums are exact
+    total = F.lit(0.0)
     for a in "ACGT":
-        rest = n - F.length(F.translate(seq, a, "")) - F.endswith(seq, F.lit(a)).cast("int")
+        total = total + (n - F.length(F.translate(seq, a, "")) - F.endswith(seq, F.lit(a)).cast("int")) * F.lit(tenths[a + a])
         for b in "ACGT":
             if a != b:
-                rest = rest - two[a + b]
-        two[a * 2] = rest
-    return two
-
-
-def _stacked(seq: Column, which: int) -> Column:
-    pairs, total = _pairs_of(seq), F.lit(0.0)
-    for k, v in STACK.items():
-        total = total + pairs[k] * F.lit(round(v[which] * 10))  # tenths, so that sums are exact
+                total = total + (n - F.length(F.replace(seq, F.lit(a + b), F.lit("")))) * F.lit((tenths[a + b] - tenths[a + a]) / 2)
     return total / 10
 
 

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to spark.checkpoint.dir (a local folder only where that is unset, as in tests) and read it again."""
+    """Write df to spark.checkpoint.dir and read it again. Only a session in one process (tests) may do without the setting."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/strandline"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file:///tmp/checkpoints/strandline"
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -115,12 +115,13 @@ def spread(t: DataFrame, keys: list[str], step: int) -> DataFrame:
     return t.join(taken, [*keys, "k"], "left_semi")
 
 
-def padlock(genome: DataFrame, region: DataFrame, barcodes: DataFrame, o: PadlockOptions = PadlockOptions()) -> DataFrame:
-    """genome (chrom_id, seq), region as `regions` gives it, barcodes (gene_id, barcode) -> probes with their figures; position 1-based.
+def padlock(source: DataFrame, region: DataFrame, barcodes: DataFrame, o: PadlockOptions = PadlockOptions(), genome: DataFrame | None = None) -> DataFrame:
+    """source (chrom_id, seq) that regions lie on, the genome itself or target sequences with a genome (chrom_id, seq) to be unique in; region as `regions` gives it, barcodes (gene_id, barcode) -> probes with their figures; position 1-based.
 
     A gene without barcode has twenty N, and so no probe passes.
     """
-    t = probe_filters(arm_filters(tiles(genome, region, o.arm), o), o)
+    genome = source if genome is None else genome
+    t = probe_filters(arm_filters(tiles(source, region, o.arm), o), o)
     t = unique(t, genome, o, 0)
     if o.distance:
         t = unique(t, genome, o, o.distance)

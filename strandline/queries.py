@@ -47,19 +47,18 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     return genome(spark, sf).withColumn("len", F.length("seq")).filter("len >= 100")
 
 
-def queries_18(spark: SparkSession, sf: str) -> DataFrame:
-    """One 18-mer of every tenth chromosome: the set of queries, not a sample of the genome."""
-    q = base(spark, sf).filter("chrom_id % 10 = 0")
-    return q.select(F.col("chrom_id").alias("query_id"), F.lit(None).cast("string").alias("name"), F.expr("substring(seq, cast(1 + (chrom_id * 31) % (len - 25) as int), 18)").alias("seq"))
-
-
 def oligos(spark: SparkSession, sf: str) -> DataFrame:
-    """An 18-mer of every chromosome that has one, at the place where queries_18 takes it."""
+    """An 18-mer of every chromosome that has one."""
     q = genome(spark, sf).withColumn("len", F.length("seq")).filter("len >= 18")
     at = "cast(1 + (chrom_id * 31) % greatest(len - 25, 1) as int)"
     return q.select(F.col("chrom_id").alias("query_id"), F.lit(None).cast("string").alias("name"), F.expr(f"substring(seq, {at}, 18)").alias("seq"))
 
 
+def queries_18(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of searches: the oligos of all ids that 20 divides, against the whole genome."""
+    return oligos(spark, sf).filter("query_id % 20 = 0")
+
+
 def bench_kmers(spark: SparkSession, sf: str) -> DataFrame:
     b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
     return b.filter(F.length("seq") >= 15).select("item_id", F.substring("seq", 1, 15).alias("kmer"))
@@ -79,13 +78,14 @@ def primers(spark: SparkSession, sf: str) -> DataFrame:
 def exons(spark: SparkSession, sf: str) -> DataFrame:
     b = base(spark, sf).withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
     start = F.expr("(i * 37 + chrom_id * 13) % (len - 90)")
-    return b.select("chrom_id", F.concat(F.lit("G"), (F.col("chrom_id") % 50).cast("string")).alias("gene_id"), start.cast("long").alias("start"), (start + 20 + F.expr("(i * 17 + chrom_id * 7) % 60")).cast("long").alias("end"), F.lit("+").alias("strand"), F.col("i").alias("line"))
+    return b.select("chrom_id", F.concat(F.lit("G"), (F.col("chrom_id") % 50).cast("string")).alias("gene_id"), start.cast("long").alias("start"), (start + 20 + F.expr("(i * 17 + chrom_id * 7) % 60")).cast("long").alias("end"), F.when(F.col("chrom_id") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("chrom_id") * 4 + F.col("i")).alias("line"))
 
 
 # The same tables in SQL.
 G = "genome as (select doc_id as chrom_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents)"
 BASE = f"{G}, base as (select chrom_id, seq, length(seq) as len from genome where length(seq) >= 100)"
-Q18 = f"{BASE}, q18 as (select chrom_id as query_id, substr(seq, cast(1 + (chrom_id * 31) % (len - 25) as integer), 18) as q from base where chrom_id % 10 = 0)"
+OLIGOS = f"{G}, oligos as (select chrom_id as query_id, substr(seq, cast(1 + (chrom_id * 31) % greatest(length(seq) - 25, 1) as integer), 18) as q from genome where length(seq) >= 18)"
+Q18 = f"{OLIGOS}, q18 as (select * from oligos where query_id % 20 = 0)"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 Q2 = f"{Q18}, q2 as (select query_id, '+' as strand, q from q18 union all select query_id, '-', {RC.format('q')} from q18)"
 KM15 = f"{G}, pos as (select chrom_id, seq, unnest(range(length(seq) - 14)) as pos from genome where length(seq) >= 15), km as (select chrom_id, pos, substr(seq, pos + 1, 15) as kmer from pos)"
@@ -149,9 +149,9 @@ def q_salt(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("mv", "dv").agg(F.count("*").alias("n")).select("mv", "dv", F.round(thermo.salt_correction(F.col("mv"), F.col("dv"), F.lit(0.6)), 9).alias("salt"), "n")
 
 
-@registered("tm_perfect", f"with {Q18}, {STACK}, {tm_sql('q18', 'query_id', 'q', 't')} select query_id, o as seq, round(tm, 6) as tm from t")
+@registered("tm_perfect", f"with {OLIGOS}, {STACK}, {tm_sql('oligos', 'query_id', 'q', 't')} select query_id, o as seq, round(tm, 6) as tm from t")
 def q_tm(spark: SparkSession, sf: str) -> DataFrame:
-    return queries_18(spark, sf).select("query_id", "seq", F.round(thermo.tm_perfect(F.col("seq")), 6).alias("tm"))
+    return oligos(spark, sf).select("query_id", "seq", F.round(thermo.tm_perfect(F.col("seq")), 6).alias("tm"))
 
 
 @registered("self_complementary", f"with {KM15.replace('- 14', '- 7').replace('>= 15', '>= 8').replace(', 15)', ', 8)')} select chrom_id, pos, kmer from km where kmer = {RC.format('kmer')}")
@@ -233,9 +233,9 @@ def q_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return q_hamming1(spark, sf).groupBy("query_id", "distance").agg(F.count("*").alias("hits"), F.sum(F.col("start") - 1).cast("decimal(38,0)").alias("positions"))
 
 
-@registered("hamming_neighbors_d1", f"with {Q18} select distinct query_id, substr(q, 1, i - 1) || b || substr(q, i + 1) as neighbor from q18, range(1, 19) t(i), (values ('A'), ('C'), ('G'), ('T')) a(b)")
+@registered("hamming_neighbors_d1", f"with {OLIGOS} select distinct query_id, substr(q, 1, i - 1) || b || substr(q, i + 1) as neighbor from oligos, range(1, 19) t(i), (values ('A'), ('C'), ('G'), ('T')) a(b)")
 def q_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.neighbor_table(queries_18(spark, sf).withColumn("strand", F.lit("+")), 1, False).select("query_id", "neighbor")
+    return neighbors.neighbor_table(oligos(spark, sf).withColumn("strand", F.lit("+")), 1, False).select("query_id", "neighbor")
 
 
 @registered("edit_neighbors_minimal")
@@ -245,7 +245,7 @@ def q_edit_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("edit_hunt_align")
 def q_edit(spark: SparkSession, sf: str) -> DataFrame:
-    return hunt.hunt(genome(spark, sf), oligos(spark, sf).filter("query_id % 10 = 0"), HuntOptions(distance=1, max_matches=None))[0]
+    return hunt.hunt(genome(spark, sf), queries_18(spark, sf), HuntOptions(distance=1, max_matches=None))[0]
 
 
 # With one edit: windows of 17 to 19 bases; the least distance of each query and chromosome.
@@ -279,7 +279,7 @@ PRUNED = f"""{PRIMERS}, km as (select chrom_id, pos, substr(seq, pos + 1, 15) as
 kn as (select kmer, count(*) as n from km group by kmer),
 pp as (select primer_id, seq, substr(seq, 6, 15) as k3 from pr),
 ok as (select pp.* from pp left join kn a on a.kmer = k3 left join kn b on b.kmer = {RC.format('k3')} where coalesce(a.n, 0) <= 10 and coalesce(b.n, 0) <= 10)"""
-BINDS = f"""{PRUNED}, bd as (select primer_id, true as on_forward, chrom_id, pos - 5 as pos from ok join km on km.kmer = k3 union all select primer_id, false, chrom_id, pos from ok join km on km.kmer = {RC.format('k3')})"""
+BINDS = f"""{PRUNED}, bd as (select primer_id, true as on_forward, chrom_id, pos - 5 as pos from pp join km on km.kmer = k3 union all select primer_id, false, chrom_id, pos from pp join km on km.kmer = {RC.format('k3')})"""
 AMPS = f"""{BINDS}, am as (select f.chrom_id, f.primer_id as for_id, r.primer_id as rev_id, f.pos as for_pos, r.pos as rev_pos, r.pos + 20 - f.pos as product_length from bd f join bd r on f.chrom_id = r.chrom_id and f.on_forward and not r.on_forward and r.pos > f.pos and r.pos + 20 - f.pos <= 1000)"""
 
 
@@ -294,19 +294,19 @@ def q_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered("primer_binds_exact", f"with {BINDS} select primer_id, on_forward, chrom_id, pos from bd")
 def q_binds(spark: SparkSession, sf: str) -> DataFrame:
-    return search.exact_binds(genome(spark, sf), pruned(spark, sf), 15).select("primer_id", "on_forward", "chrom_id", "pos")
+    return search.exact_binds(genome(spark, sf), primers(spark, sf), 15).select("primer_id", "on_forward", "chrom_id", "pos")
 
 
 def exact_amplicons(spark: SparkSession, sf: str) -> DataFrame:
-    p = pruned(spark, sf)
+    p = primers(spark, sf)
     sites = search.exact_binds(genome(spark, sf), p, 15).join(p.select("primer_id", thermo.tm_perfect(F.col("seq")).alias("match_tm")), "primer_id").withColumn("tm", F.col("match_tm") - F.col("chrom_id") % 3)
     return search.products(sites, SearchOptions(max_product=1000))
 
 
-@registered("tm_duplex", f"with {Q18}, {STACK}, {tm_sql('q18', 'query_id', 'q', 't')} select query_id, o as seq, round(tm, 6) as tm from t")
+@registered("tm_duplex", f"with {OLIGOS}, {STACK}, {tm_sql('oligos', 'query_id', 'q', 't')} select query_id, o as seq, round(tm, 6) as tm from t")
 def q_duplex(spark: SparkSession, sf: str) -> DataFrame:
     """The dynamic program on perfect duplexes, which have a closed form."""
-    q = queries_18(spark, sf).select("query_id", "seq")
+    q = oligos(spark, sf).select("query_id", "seq")
     return duplex.site_tm(q, F.col("seq"), dna.revcomp_acgt(F.col("seq"))).select("query_id", "seq", F.round("tm", 6).alias("tm"))
 
 
@@ -325,7 +325,7 @@ def q_amplicons(spark: SparkSession, sf: str) -> DataFrame:
     return exact_amplicons(spark, sf).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", "product_length")
 
 
-PENALTY = f"""with {AMPS}, {STACK}, {tm_sql('ok', 'primer_id', 'seq', 't')},
+PENALTY = f"""with {AMPS}, {STACK}, {tm_sql('pr', 'primer_id', 'seq', 't')},
 pen as (select am.*, round(greatest(0, 0.6 * (chrom_id % 3)) * 2 + abs(a.tm - b.tm) * 0.4 + product_length * 0.001, 6) as penalty from am join t a on a.primer_id = for_id join t b on b.primer_id = rev_id)"""
 
 
@@ -341,16 +341,19 @@ def q_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).select("rank", "chrom_id", "for_id", "rev_id", "penalty")
 
 
-@registered("amplicon_sequence", f"with {AMPS} select am.chrom_id, for_id, rev_id, for_pos, rev_pos, substr(g.seq, cast(for_pos + 1 as integer), cast(product_length as integer)) as seq from am join genome g on g.chrom_id = am.chrom_id where for_pos >= 0")
+@registered("amplicon_sequence", f"with {AMPS} select am.chrom_id, for_id, rev_id, for_pos, rev_pos, md5(substr(g.seq, cast(for_pos + 1 as integer), cast(product_length as integer))) as seq_md5 from am join genome g on g.chrom_id = am.chrom_id where for_pos >= 0")
 def q_sequence(spark: SparkSession, sf: str) -> DataFrame:
     a = exact_amplicons(spark, sf).filter("for_pos >= 0")
-    return search.with_sequence(a, genome(spark, sf), 1000).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", "seq")
+    return search.with_sequence(a, genome(spark, sf), 1000).select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 # --- probes ----------------------------------------------------------------------------------------------------------------
 
 OPT = PadlockOptions(distance=0)
-TILES = f"{FLAT}, ti as (select flat.chrom_id, gene_id, s, e, k, substr(g.seq, cast(s + k + 1 as integer), 20) as a1, substr(g.seq, cast(s + k + 21 as integer), 20) as a2 from (select *, unnest(range(e - s - 39)) as k from flat where e - s >= 40) flat join genome g on g.chrom_id = flat.chrom_id)"
+# Exons of odd chromosomes are on the - strand: there, k counts from the end and arms are reverse complements.
+TILES = f"""{FLAT}, tpos as (select flat.chrom_id, gene_id, s, e, k, case when flat.chrom_id % 2 = 0 then s + k else e - k - 40 end as p, seq from (select *, unnest(range(e - s - 39)) as k from flat where e - s >= 40) flat join genome g on g.chrom_id = flat.chrom_id),
+tw as (select *, substr(seq, cast(p + 1 as integer), 20) as x, substr(seq, cast(p + 21 as integer), 20) as y from tpos),
+ti as (select chrom_id, gene_id, s, e, k, p, case when chrom_id % 2 = 0 then x else {RC.format('y')} end as a1, case when chrom_id % 2 = 0 then y else {RC.format('x')} end as a2 from tw)"""
 ARM_GC = f"{TILES}, gcs as (select *, {GC_SQL.format('a1')} as g1, {GC_SQL.format('a2')} as g2 from ti), ag as (select * from gcs where g1 between 0.4 and 0.6 and g2 between 0.4 and 0.6)"
 ARM_TM = f"""{ARM_GC}, {STACK}, arms as (select distinct a1 as a from ag union select a2 from ag), {tm_sql('arms', 'a', 'a', 't')},
 at2 as (select ag.*, x.tm as t1, y.tm as t2 from ag join t x on x.o = a1 join t y on y.o = a2 where x.tm <= 93 + g1 - 675.0 / 20 and y.tm <= 93 + g2 - 675.0 / 20 and abs(x.tm - y.tm) <= 2)"""
@@ -460,7 +463,7 @@ def assembled(spark: SparkSession, sf: str, overlapping: bool) -> DataFrame:
     return padlock.padlock(genome(spark, sf), flat_regions(spark, sf), gene_barcodes(spark, sf), PadlockOptions(distance=0, overlapping=overlapping))
 
 
-@registered("padlock_assemble", f"with {ASSEMBLED} {PLAIN}, s + k + 1 as position, padlock from pf")
+@registered("padlock_assemble", f"with {ASSEMBLED} {PLAIN}, p + 1 as position, padlock from pf")
 def q_assemble(spark: SparkSession, sf: str) -> DataFrame:
     return plain(assembled(spark, sf, True), "position", "padlock")
 
