@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to spark.checkpoint.dir and read it again. Only a session in one process (tests) may do without the setting."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in spark.checkpoint.dir. Only a session in one process (tests) may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints/strandline"
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def stored(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sinks
 from .functions import dna, thermo
+from .lineage import shared_path, stored
 from .operators import align, duplex, kmers, neighbors
 from .plans import hunt, padlock, search
 from .plans.config import HuntOptions, PadlockOptions, SearchOptions
+from .sources import fasta, gtf, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,7 +241,11 @@ def q_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbor_table(oligos(spark, sf).withColumn("strand", F.lit("+")), 1, False).select("query_id", "neighbor")
 
 
-@registered("edit_neighbors_minimal")
+@registered("edit_neighbors_minimal", f"""with {OLIGOS}, b(b) as (values ('A'), ('C'), ('G'), ('T')),
+near as (select query_id, substr(q, 1, i - 1) || substr(q, i + 1) as w from oligos, range(1, 19) t(i)
+  union select query_id, substr(q, 1, i - 1) || b || substr(q, i + 1) from oligos, range(1, 19) t(i), b
+  union select query_id, substr(q, 1, i - 1) || b || substr(q, i) from oligos, range(1, 19) t(i), b)
+select query_id, w as neighbor, false as capped from near a where not exists (select 1 from near c where c.query_id = a.query_id and length(c.w) < length(a.w) and contains(a.w, c.w))""")
 def q_edit_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.neighbor_table(oligos(spark, sf).withColumn("strand", F.lit("+")), 1).select("query_id", "neighbor", "capped")
 
@@ -266,7 +273,8 @@ def q_context(spark: SparkSession, sf: str) -> DataFrame:
     return hunt.neighbor_hits(genome(spark, sf), words, 5).select("item_id", "chrom_id", "pos", F.col("window").alias("window_text"))
 
 
-@registered("pairwise_align")
+# The oligo lies in its chromosome, so the score is 0 and the first place is taken.
+@registered("pairwise_align", f"with {OLIGOS} select query_id, cast(0 as integer) as score, cast(strpos(seq, q) - 1 as integer) as lead, q as refalign, q as queryalign from oligos join genome on chrom_id = query_id")
 def q_align(spark: SparkSession, sf: str) -> DataFrame:
     q = oligos(spark, sf)
     g = genome(spark, sf).select(F.col("chrom_id").alias("query_id"), F.col("seq").alias("window"))
@@ -476,8 +484,208 @@ def q_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return assembled(spark, sf, False).select("chrom_id", "gene_id", "start", F.col("k").cast("long").alias("k"))
 
 
+# Probes of which one arm at least is unique.
+@registered("probe_unique", f"with {UNIQ.replace('p.n <= 1 and q.n <= 1', 'p.n <= 1 or q.n <= 1')} {PLAIN} from un")
+def q_probe_unique(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(padlock.unique(sound_probes(spark, sf), genome(spark, sf), PadlockOptions(distance=0, probe_unique=True), 0))
+
+
+@registered("barcode_tm", f"with {BARCODES}, {STACK}, bd as (select distinct barcode from bc), {tm_sql('bd', 'barcode', 'barcode', 't')} select barcode, round({GC_SQL.format('barcode')}, 9) as gc, round(tm, 6) as tm from t")
+def q_barcode_tm(spark: SparkSession, sf: str) -> DataFrame:
+    b = barcodes(spark, sf).select("barcode").distinct()
+    return b.select("barcode", F.round(dna.gc_fraction(F.col("barcode")), 9).alias("gc"), F.round(thermo.tm_perfect(F.col("barcode")), 6).alias("tm"))
+
+
+GAPPED = "gp as (select doc_id, regexp_replace(upper(text), '[^ACGTE]', '', 'g') as t from documents)"
+
+
+@registered("gap_functions", f"with {GAPPED}, g2 as (select doc_id, replace(t, 'E', '-') as t from gp) select doc_id, cast(length(replace(t, '-', '')) as integer) as bases, cast(length(t) - length(rtrim(t, '-')) as integer) as trailing, case left(t, 1) when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end as code from g2")
+def q_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.translate(F.regexp_replace(F.upper("text"), "[^ACGTE]", ""), "E", "-").alias("t"))
+    return d.select("doc_id", dna.nucleotide_length(F.col("t")).alias("bases"), dna.trailing_gap(F.col("t")).alias("trailing"), dna.base_code(F.substring("t", 1, 1)).alias("code"))
+
+
+# --- files: written to the shared folder and read again by the readers ------------------------------------------------------
+
+
+def written(rows: DataFrame, value: str, name: str) -> str:
+    """The path of a text file with one value of each row, in the order of the rows' first column."""
+    path = shared_path(rows.sparkSession, name)
+    rows.orderBy(rows.columns[0]).selectExpr(f"{value} as value").coalesce(1).write.text(path)
+    return path
+
+
+@registered("fasta_genome", f"with {G} select 'chr' || chrom_id as chrom, seq, cast(row_number() over (order by chrom_id) - 1 as integer) as chrom_id from genome where seq <> ''")
+def q_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    """Wrapped lower-case records with `>` in their headers; those without bases are no chromosomes."""
+    path = written(genome(spark, sf), r"concat('>chr', chrom_id, ' a>b\n', lower(substring(seq, 1, 60)), '\r\n', substring(seq, 61), '\n')", "fa")
+    return fasta.read_genome(spark, path).select("chrom", "seq", "chrom_id")
+
+
+@registered("fasta_queries", f"with {OLIGOS} select 'query ' || query_id || ' of a set' as name, lower(q) as seq from oligos")
+def q_fasta_queries(spark: SparkSession, sf: str) -> DataFrame:
+    path = written(oligos(spark, sf), r"concat('>query ', query_id, ' of a set\n', lower(seq), '\n')", "fa")
+    return fasta.read_queries(spark, path).select("name", "seq")
+
+
+@registered("fasta_primers", f"with {PRIMERS} select 'p' || primer_id as name, seq, seq <> '' as kept from pr")
+def q_fasta_primers(spark: SparkSession, sf: str) -> DataFrame:
+    path = written(primers(spark, sf), r"concat('>p', primer_id, '\n', lower(seq))", "fa")
+    p = fasta.read_primers(spark, path)
+    return search.long_enough(p, 15).select("name", "seq", F.lit(True).alias("kept"))
+
+
+@registered("fasta_barcodes", f"with {BARCODES} select cast(ord - 1 as bigint) as ordinal, 'b' || ord as code, barcode from bc")
+def q_fasta_barcodes(spark: SparkSession, sf: str) -> DataFrame:
+    b = barcodes(spark, sf).select(F.row_number().over(Window.orderBy("item_id")).alias("ord"), "barcode")  # as many rows as barcodes
+    path = written(b, r"concat('>b', ord, '\r\n', lower(barcode))", "fa")
+    return fasta.read_barcodes(spark, path).select(F.col("ordinal").cast("long").alias("ordinal"), "code", "barcode")
+
+
+GTF_ROWS = r"""concat('chr', chrom_id, '\ts\t', case when i = 3 then 'CDS' else 'exon' end, '\t', start + 1, '\t', end, '\t.\t', strand, '\t.\tgene_id "', gene_id, '"; gene_name "S', gene_id, '"; transcript_biotype "', case when i = 1 then 'lncRNA' else 'protein_coding' end, '"; gene_biotype "protein_coding";')"""
+
+
+def gtf_file(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The exons as lines of a GTF file, and the chromosomes."""
+    rows = exons(spark, sf).select("line", "chrom_id", "gene_id", "start", "end", "strand", (F.col("line") % 4).alias("i"))
+    return gtf.read_gtf(spark, written(rows, GTF_ROWS, "gtf")), genome(spark, sf).select("chrom_id", F.concat(F.lit("chr"), F.col("chrom_id").cast("string")).alias("chrom"))
+
+
+@registered("gtf_exons", f"with {EXONS.replace('60 as e from', '60 as e, i from')} select chrom_id, gene_id, 'S' || gene_id as symbol, true as coding, cast(s as bigint) as start, cast(e as bigint) as \"end\", case when chrom_id % 2 = 0 then '+' else '-' end as strand from ex where i in (0, 2)")
+def q_gtf_exons(spark: SparkSession, sf: str) -> DataFrame:
+    lines, chromosomes = gtf_file(spark, sf)
+    return gtf.exons(lines, chromosomes, protein_coding=True).drop("line")
+
+
+@registered("gtf_genes", f"with {EXONS}, first as (select gene_id, min(chrom_id) as f from ex group by gene_id) select gene_id, 'S' || gene_id as symbol, true as coding, cast(row_number() over (order by f) - 1 as integer) as ordinal from first")
+def q_gtf_genes(spark: SparkSession, sf: str) -> DataFrame:
+    lines, chromosomes = gtf_file(spark, sf)
+    return gtf.gene_table(gtf.exons(lines, chromosomes))
+
+
+@registered("gene_list", "select 'G' || (item_id * 3) as gene_id from benchmark")
+def q_gene_list(spark: SparkSession, sf: str) -> DataFrame:
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id")
+    return tables.read_gene_list(spark, written(b, "concat(' G', item_id * 3, case item_id % 4 when 0 then '' when 1 then ',x' when 2 then ';y z' else '\\tq' end)", "lst"))
+
+
+@registered("bed_intervals", f"with {EXONS} select 'chr' || chrom_id as chrom, cast(s as bigint) as start, cast(e as bigint) as \"end\" from ex")
+def q_bed(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_bed(spark, written(exons(spark, sf).select("line", "chrom_id", "start", "end"), "concat('chr', chrom_id, '\\t', start, case when line % 2 = 0 then ' ' else ';' end, end, '\\tx')", "bed"))
+
+
+@registered("target_tiles", f"with {B15.replace('b15', 'b0')}, tg as (select item_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from benchmark), tk as (select 't' || item_id as gene_id, unnest(range(length(seq) - 39)) as k, seq from tg where length(seq) >= 40) select gene_id, cast(k as integer) as k, substr(seq, cast(k + 1 as integer), 20) as arm1, substr(seq, cast(k + 21 as integer), 20) as arm2 from tk")
+def q_target_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Probe targets of a FASTA file: each record is a region of its own."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    t = fasta.read_targets(spark, written(b, r"concat('>t', item_id, '\n', seq)", "fa"))
+    return padlock.tiles(t.select("chrom_id", "seq"), padlock.regions(t), 20).select("gene_id", "k", "arm1", "arm2")
+
+
+# --- documents ---------------------------------------------------------------------------------------------------------------
+
+
+def hunt_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of a Hamming search, written and read again."""
+    g = genome(spark, sf).withColumn("chrom", F.concat(F.lit("chr"), F.col("chrom_id").cast("string")))
+    q = queries_18(spark, sf).withColumn("name", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    o = HuntOptions(distance=1, hamming=True, max_matches=None)
+    hits, said = hunt.hunt(g, q, o)
+    path = shared_path(spark, "json")
+    sinks.write_documents(sinks.hunt_documents(q, hits, said, g, o, {"version": "1"}), path)
+    return spark.read.text(path)
+
+
+@registered("hunt_documents", f"""with h as ({hamming_sql(1)}), n as (select *, cast(row_number() over (partition by query_id order by distance, chrom_id, start, strand) - 1 as integer) as n from h)
+select 'q' || query_id as name, n, distance, 'chr' || chrom_id as chr, start, "end", strand, refalign, queryalign from n""")
+def q_hunt_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.hunt_rows(hunt_json(spark, sf)).drop("sequence")
+
+
+@registered("hunt_text", f"""with h as ({hamming_sql(1)}) select '>chr' || chrom_id || ':' || start || '-' || "end" || ' (Strand: ' || strand || ', Distance: ' || distance || ')' || chr(10) || queryalign || chr(10) || refalign as value from h""")
+def q_hunt_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.hunt_text(hunt_json(spark, sf))
+
+
+@registered("hunt_by_index", hamming_sql(1))
+def q_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A search that meets a stored k-mer table and fetches chunks for hits alone."""
+    g = genome(spark, sf)
+    index = stored(kmers.kmers(g, 9), "index")
+    return hunt.hunt(g, queries_18(spark, sf), HuntOptions(distance=1, hamming=True, max_matches=None), index)[0]
+
+
+@registered("hunt_messages", f"with {G}, m as (select chrom_id, length(seq) as n, 1 + chrom_id % 3 as d from genome where chrom_id % 20 = 0) select chrom_id as query_id, 'error' as type from m where n < 10 union all select chrom_id, 'warning' from m where n >= 10 union all select chrom_id, 'warning' from m where n >= 10")
+def q_hunt_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole sequences with two letters that are no bases: one warning for each letter, an error for those too short."""
+    q = genome(spark, sf).filter("chrom_id % 20 = 0").select(F.col("chrom_id").alias("query_id"), F.lit(None).cast("string").alias("name"), F.when(F.length("seq") >= 10, F.concat(F.lit("xz"), F.substring(F.col("seq"), 3, 1_000_000))).otherwise(F.col("seq")).alias("seq"))
+    return hunt.prepare(q, HuntOptions())[1].select("query_id", "type")
+
+
+# Where a primer repeats its 3' seed, a site lies at the seed's first place in it; these sites are left out on both sides.
+FULL = f"""{PRIMERS}, {STACK}, {tm_sql('pr', 'primer_id', 'seq', 't')},
+k20 as (select chrom_id, pos, substr(seq, cast(pos + 1 as integer), 20) as kmer from (select chrom_id, seq, unnest(range(length(seq) - 19)) as pos from genome where length(seq) >= 20)),
+full_ as (select p.primer_id, true as on_forward, chrom_id, pos, tm, p.seq as genome from pr p join t using (primer_id) join k20 on kmer = p.seq where tm > 45 and strpos(p.seq, substr(p.seq, 6)) = 6
+  union all select p.primer_id, false, chrom_id, pos, tm, kmer from pr p join t using (primer_id) join k20 on kmer = {RC.format('p.seq')} where tm > 45 and strpos(p.seq, substr(p.seq, 6)) = 6)"""
+
+
+def matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites that match their primer in full, of all sites that melt high enough."""
+    sites = search.binds(genome(spark, sf), primers(spark, sf), SearchOptions(distance=0, hamming=True, max_matches=None))
+    p = primers(spark, sf).select("primer_id", F.col("seq").alias("primer"))
+    want = F.when(F.col("on_forward"), F.col("primer")).otherwise(dna.revcomp_acgt(F.col("primer")))
+    once = F.expr("instr(primer, right(primer, 15)) = 6")
+    return stored(sites.join(p, "primer_id").filter((F.col("genome") == want) & once), "matched")
+
+
+@registered("primer_sites_matched", f"with {FULL} select primer_id, on_forward, chrom_id, pos, round(tm, 6) as tm, round(tm, 6) as match_tm, genome from full_")
+def q_matched(spark: SparkSession, sf: str) -> DataFrame:
+    return matched(spark, sf).select("primer_id", "on_forward", "chrom_id", "pos", F.round("tm", 6).alias("tm"), F.round("match_tm", 6).alias("match_tm"), "genome")
+
+
+PAIRS = f"""{FULL}, pair as (select f.chrom_id, f.primer_id as for_id, r.primer_id as rev_id, f.pos as for_pos, r.pos as rev_pos, r.pos + 20 - f.pos as n, f.tm as for_tm, r.tm as rev_tm, round(abs(f.tm - r.tm) * 0.4 + (r.pos + 20 - f.pos) * 0.001, 6) as penalty
+  from full_ f join full_ r on f.chrom_id = r.chrom_id and f.on_forward and not r.on_forward and r.pos > f.pos and r.pos + 20 - f.pos <= 1000)"""
+
+
+@registered("amplicon_cutoff", f"with {PAIRS} select chrom_id, for_id, rev_id, for_pos, rev_pos, penalty from pair where penalty < 2")
+def q_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    a = search.products(matched(spark, sf), SearchOptions(max_product=1000, cutoff_penalty=2.0))
+    return a.select("chrom_id", F.col("for_primer_id").alias("for_id"), F.col("rev_primer_id").alias("rev_id"), "for_pos", "rev_pos", F.round("penalty", 6).alias("penalty"))
+
+
+def search_json(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the search document, written and read again."""
+    g = genome(spark, sf).withColumn("chrom", F.concat(F.lit("chr"), F.col("chrom_id").cast("string")))
+    p = primers(spark, sf).withColumn("name", F.concat(F.lit("p"), F.col("primer_id").cast("string")))
+    o = SearchOptions(max_product=1000)
+    sites = matched(spark, sf)
+    a, b = sinks.search_tables(sites, search.with_sequence(search.products(sites, o), g, 1000), p, g)
+    path = shared_path(spark, "json")
+    none = spark.createDataFrame([], "primer_id long, type string, title string")
+    sinks.write_document(sinks.search_document(a, b, none, o, {"version": "1"}), path)
+    return sinks.search_rows(spark.read.text(path))
+
+
+@registered("search_primers", f"with {FULL} select 'chr' || chrom_id as \"Chrom\", cast(row_number() over (order by round(tm, 9) desc, chrom_id, pos, on_forward desc, primer_id) - 1 as bigint) as \"Id\", round(tm, 6) as \"Tm\", pos + 1 as \"Pos\", pos + 20 as \"End\", case when on_forward then 'forward' else 'reverse' end as \"Ori\", 'p' || primer_id as \"Name\", genome as \"Genome\" from full_")
+def q_search_primers(spark: SparkSession, sf: str) -> DataFrame:
+    return search_json(spark, sf)[0].withColumn("Tm", F.round("Tm", 6)).drop("MatchTm", "Seq")
+
+
+@registered("search_amplicons", f"with {PAIRS} select 'chr' || p.chrom_id as \"Chrom\", n as \"Length\", penalty as \"Penalty\", for_pos + 1 as \"ForPos\", for_pos + 20 as \"ForEnd\", round(for_tm, 6) as \"ForTm\", 'p' || for_id as \"ForName\", rev_pos + 1 as \"RevPos\", rev_pos + 20 as \"RevEnd\", round(rev_tm, 6) as \"RevTm\", 'p' || rev_id as \"RevName\", md5(substr(g.seq, cast(for_pos + 1 as integer), cast(n as integer))) as \"Seq\" from pair p join genome g on g.chrom_id = p.chrom_id")
+def q_search_amplicons(spark: SparkSession, sf: str) -> DataFrame:
+    b = search_json(spark, sf)[1]
+    return b.drop("Id", "ForSeq", "RevSeq").withColumns({"Seq": F.md5(F.col("Seq").cast("binary")), **{k: F.round(k, 6) for k in ("Penalty", "ForTm", "RevTm")}})
+
+
+@registered("padlock_columns", f"""with {ASSEMBLED} select cast(row_number() over (order by pf.chrom_id, pf.gene_id, s, k) - 1 as bigint) as rank, pf.gene_id as "Gene", 'S' || pf.gene_id as "Symbol", 'c' || pf.gene_id as "Code", 'chr' || pf.chrom_id || ':' || (p + 1) as "Position",
+'https://genome.ucsc.edu/cgi-bin/hgTracks?db=hg38&position=chr' || pf.chrom_id || ':' || (p + 1) || '-' || (p + 40) as "UCSC", case when pf.chrom_id % 2 = 0 then '+' else '-' end as "Strand", 'chr' || pf.chrom_id || ':' || (s + 1) || '-' || e as "FeatureCoordinates", a1 || '-' || a2 as "ProbeSeq", padlock as "PadlockSeq", round(t1, 6) as "Arm1TM", round(probe_tm, 6) as "ProbeTM", round((g1 + g2) / 2, 9) as "ProbeGC" from pf""")
+def q_padlock_columns(spark: SparkSession, sf: str) -> DataFrame:
+    genes = exons(spark, sf).select("gene_id").distinct().select("gene_id", F.concat(F.lit("S"), "gene_id").alias("symbol"), F.concat(F.lit("c"), "gene_id").alias("code"))
+    chromosomes = genome(spark, sf).select("chrom_id", F.concat(F.lit("chr"), F.col("chrom_id").cast("string")).alias("chrom"))
+    t = sinks.padlock_table(assembled(spark, sf, True), genes, chromosomes, OPT, "hg38")
+    return t.select("rank", *sinks.PADLOCK_COLUMNS[:8], "PadlockSeq", *[F.round(k, 6).alias(k) for k in ("Arm1TM", "ProbeTM")], F.round("ProbeGC", 9).alias("ProbeGC"))
+
+
 @registered("padlock_edit")
 def q_padlock_edit(spark: SparkSession, sf: str) -> DataFrame:
     return padlock.padlock(genome(spark, sf), flat_regions(spark, sf), gene_barcodes(spark, sf), PadlockOptions(distance=1)).select("gene_id", "chrom_id", "position", "strand", "probe", "padlock", "arm1_tm", "arm2_tm", "probe_tm")
-
-
