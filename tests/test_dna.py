@@ -200,3 +200,202 @@ def test_operators_take_every_row_and_whole_sequences(spark, tmp_path):
     assert {r["query_id"] for r in QUERIES["edit_neighbors_minimal"](spark, str(tmp_path)).select("query_id").distinct().collect()} == ids
     hits = QUERIES["edit_hunt_align"](spark, str(tmp_path)).filter("distance = 0").collect()
     assert {r["query_id"] for r in hits} == {i for i in ids if i % 10 == 0}
+
+
+def levenshtein(a: str, b: str) -> int:
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        prev = row
+    return prev[-1]
+
+
+def test_edit_hunt_equals_brute_force(spark):
+    random.seed(11)
+    chroms = ["".join(random.choice("ACGT") for _ in range(random.randint(30, 200))) for _ in range(8)]
+    queries = []
+    for k in range(12):
+        s = random.choice(chroms)
+        at = random.randrange(len(s) - 14)
+        q = list(s[at : at + 14])
+        for _ in range(random.randint(0, 2)):
+            i = random.randrange(len(q))
+            q[i : i + 1] = random.choice([[], [random.choice("ACGT")], [q[i], random.choice("ACGT")]])
+        q = "".join(q)
+        queries.append((k, None, q if k % 2 else rc(q)))
+    g = spark.createDataFrame(list(enumerate(chroms)), "chrom_id int, seq string")
+    rows = hunt.hunt(g, spark.createDataFrame(queries, "query_id int, name string, seq string"), HuntOptions(max_matches=None))[0].collect()
+    best = {}
+    for r in rows:
+        q = queries[r["query_id"]][2] if r["strand"] == "+" else rc(queries[r["query_id"]][2])
+        ref = r["refalign"].replace("-", "")
+        assert r["queryalign"].replace("-", "") == q and ref == chroms[r["chrom_id"]][r["start"] - 1 : r["end"]] and levenshtein(ref, q) == r["distance"] <= 1
+        key = r["query_id"], r["chrom_id"]
+        best[key] = min(best.get(key, 9), r["distance"])
+    want = {}
+    for k, _, q in queries:
+        for c, s in enumerate(chroms):
+            d = min(edit_min(s, q), edit_min(s, rc(q)))
+            if d <= 1:
+                want[k, c] = d
+    assert best == want and want
+
+
+def tm_of(o: str) -> float:
+    import math
+
+    h = thermo.INIT_H + sum(thermo.STACK[o[i : i + 2]][0] for i in range(len(o) - 1)) + sum(2200 for b in (o[0], o[-1]) if b in "AT")
+    s = thermo.INIT_S + sum(thermo.STACK[o[i : i + 2]][1] for i in range(len(o) - 1)) + sum(6.9 for b in (o[0], o[-1]) if b in "AT")
+    return h / (s + (len(o) - 1) * thermo.Ions().salt() + 1.9872 * math.log(50 / (1e9 if o == rc(o) else 4e9))) - 273.15
+
+
+def test_padlock_edit_equals_brute_force(spark, tmp_path):
+    """Whole probe design on a small genome: tiles of both strands, filters, both uniqueness tests, assembly and the greedy choice."""
+    from strandline.queries import QUERIES
+
+    random.seed(12)
+    docs = {k: "".join(random.choice("ACGT") for _ in range(random.randint(260, 400))) for k in range(24)}
+    docs[24] = docs[3][:200] + docs[4][100:260]  # what lies here twice is not unique
+    codes = {k: "".join(random.choice("ACGT") for _ in range(20)) for k in range(60)}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(codes.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "|".join(docs.values())
+    count = lambda w: sum(text.startswith(w, i) for i in range(len(text)))
+    gc = lambda s: sum(b in "CG" for b in s) / len(s)
+    genes = {f"G{c % 50}": k for k, c in enumerate(sorted(docs))}
+    want = set()
+    for c, seq in docs.items():
+        n = len(seq)
+        parts = sorted(((i * 37 + c * 13) % (n - 90), (i * 37 + c * 13) % (n - 90) + 20 + (i * 17 + c * 7) % 60) for i in range(4))
+        flat = []
+        for a, b in parts:
+            if flat and a <= flat[-1][1]:
+                flat[-1][1] = max(b, flat[-1][1])
+            else:
+                flat.append([a, b])
+        for a, b in flat:
+            exon = seq[a:b] if c % 2 == 0 else rc(seq[a:b])
+            last = None
+            for k in range(len(exon) - 39):
+                x, y, probe = exon[k : k + 20], exon[k + 20 : k + 40], exon[k : k + 40]
+                if not (0.4 <= gc(x) <= 0.6 and 0.4 <= gc(y) <= 0.6 and 0.4 <= gc(probe) <= 0.6):
+                    continue
+                if tm_of(x) > 93 + gc(x) - 675 / 20 or tm_of(y) > 93 + gc(y) - 675 / 20 or abs(tm_of(x) - tm_of(y)) > 2:
+                    continue
+                low = 81.5 + gc(probe) - 675 / 40
+                if not low <= tm_of(probe) <= low + 10:
+                    continue
+                if any(count(z) + count(rc(z)) > 1 for z in (x, y)):
+                    continue
+                if any(sum(count(w) for s in (z, rc(z)) for w in neighbors.neighborhood(s, 1)) > 2 for z in (x, y)):
+                    continue
+                code = codes[genes[f"G{c % 50}"]]
+                padlock_ = rc(x) + "TCCTC" + "TGCGTCTATTTAGTGGAGCC" + code + "TCTTT" + rc(y)
+                if not 0.4 <= gc(padlock_) <= 0.6 or (last is not None and k < last + 40):
+                    continue
+                last = k
+                want.add((f"G{c % 50}", c, a + k + 1 if c % 2 == 0 else b - k - 39, "+" if c % 2 == 0 else "-", probe, padlock_))
+    got = {(r["gene_id"], r["chrom_id"], r["position"], r["strand"], r["probe"], r["padlock"]) for r in QUERIES["padlock_edit"](spark, str(tmp_path)).collect()}
+    assert got == want and len({s for *_, s, _, _ in want}) == 2
+
+
+def parameters(path, **given):
+    """A directory of made-up tables: published stacks, and nothing else but what is given."""
+    path.mkdir()
+    inf = float("inf")
+    put = lambda name, xs: (path / name).write_text("\n".join(str(x) for x in xs) + "\n")
+    stack = {(a, b, "TGCA"["ACGT".index(a)], "TGCA"["ACGT".index(b)]): v for (a, b), v in thermo.STACK.items()}
+    order = [(a, b, c, d) for a in "ACGT" for b in "ACGT" for c in "ACGT" for d in "ACGT"]
+    for k, ext in enumerate(("dh", "ds")):
+        put(f"stack.{ext}", [stack.get(x, (inf, inf))[k] for x in order])
+        put(f"stackmm.{ext}", [given.get("mismatch", (inf, inf))[k]] * 256)
+        put(f"tstack2.{ext}", [given.get("outer", (inf, inf))[k]] * 256)
+        put(f"dangle.{ext}", [given.get("dangle3", (inf, inf))[k]] * 64 + [given.get("dangle5", (inf, inf))[k]] * 64)
+        put(f"loops.{ext}", [f"{n} {given.get('interior', (inf, inf))[k]} {given.get('bulge', (inf, inf))[k]} inf" for n in range(1, 31)])
+        put({"dh": "tstack.dh", "ds": "tstack_tm_inf.ds"}[ext], [given.get("inner", (inf, inf))[k]] * 256)
+    return str(path)
+
+
+def test_duplex_with_parameter_tables(tmp_path):
+    """Terminal mismatches, dangling ends, bulges and interior loops against sums made by hand."""
+    import math
+
+    import pytest
+
+    from strandline.functions.thermo import STACK, Ions
+
+    o = "GATCCAGTCAGGTACTGCAC"
+    salt, conc = Ions().salt(), 1.9872 * math.log(50 / 4e9)
+    end = lambda b: (2200.0, 6.9) if b in "AT" else (0.0, 1e-11)
+
+    def tm(h, s, pairs):
+        return h / (s + (pairs - 1) * salt + conc) - 273.15
+
+    def stacks(x):
+        return sum(STACK[x[i : i + 2]][0] for i in range(len(x) - 1)), sum(STACK[x[i : i + 2]][1] for i in range(len(x) - 1))
+
+    bare = parameters(tmp_path / "bare")
+    assert duplex.melt([o], [rc(o) + "AA"], directory=bare)[0] == pytest.approx(duplex.melt([o], [rc(o)])[0])
+    # One base beyond the second oligo's 3' end, next to o's beginning, dangles.
+    d3 = parameters(tmp_path / "d3", dangle3=(-3000.0, -8.0))
+    h, s = stacks(o)
+    want = tm(h + 200 + end(o[-1])[0] + end(o[0])[0] - 3000, s - 5.7 + end(o[-1])[1] + end(o[0])[1] - 8.0, 20)
+    assert duplex.melt([o], [rc(o) + "G"], directory=d3)[0] == pytest.approx(want, abs=1e-6)
+    # A base of o in the middle meets one that it can't pair with.
+    mm = parameters(tmp_path / "mm", mismatch=(-1500.0, -3.0))
+    other = o[:10] + {"A": "C", "C": "A", "G": "T", "T": "G"}[o[10]] + o[11:]
+    (h1, s1), (h2, s2) = stacks(o[:10]), stacks(o[11:])
+    want = tm(h1 + h2 - 3000 + 200 + end(o[0])[0] + end(o[-1])[0], s1 + s2 - 6 - 5.7 + end(o[0])[1] + end(o[-1])[1], 19)
+    assert duplex.melt([o], [rc(other)], directory=mm)[0] == pytest.approx(want, abs=1e-6)
+    # A base of o that has none opposite: a bulge of one, with the stack of its neighbours.
+    bu = parameters(tmp_path / "bu", bulge=(500.0, -2.0))
+    (h1, s1), (h2, s2), (hb, sb) = stacks(o[:10]), stacks(o[11:]), STACK[o[9] + o[11]]
+    want = tm(h1 + h2 + hb + 500 + 200 + end(o[0])[0] + end(o[-1])[0], s1 + s2 + sb - 2 - 5.7 + end(o[0])[1] + end(o[-1])[1], 19)
+    assert duplex.melt([o], [rc(o[:10] + o[11:])], directory=bu)[0] == pytest.approx(want, abs=1e-6)
+    # Two bases that have none opposite: the longer bulge counts the ends of both helices.
+    (h1, s1), (h2, s2) = stacks(o[:10]), stacks(o[12:])
+    inner = [end(o[9]), end(o[12])]
+    want = tm(h1 + h2 + 500 + sum(x for x, _ in inner) + 200 + end(o[0])[0] + end(o[-1])[0], s1 + s2 - 2 + sum(y for _, y in inner) - 5.7 + end(o[0])[1] + end(o[-1])[1], 18)
+    assert duplex.melt([o], [rc(o[:10] + o[12:])], directory=bu)[0] == pytest.approx(want, abs=1e-6)
+    # Two bases opposite one: an interior loop with an asymmetry of one.
+    il = parameters(tmp_path / "il", interior=(1000.0, -1.0), inner=(-800.0, -2.0))
+    twist = {"A": "C", "C": "A", "G": "T", "T": "G"}
+    (h1, s1), (h2, s2) = stacks(o[:10]), stacks(o[12:])
+    want = tm(h1 + h2 + 1000 - 1600 + 200 + end(o[0])[0] + end(o[-1])[0], s1 + s2 - 1 - 4 - 300 / 310.15 - 5.7 + end(o[0])[1] + end(o[-1])[1], 18)
+    got = max(duplex.melt([o], [rc(o[:10] + b + o[12:])], directory=il)[0] for b in {twist[o[10]], twist[o[11]]})
+    assert got == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError, match="lacks"):
+        duplex.load(str(tmp_path))
+
+
+def test_oligos_that_no_program_can_melt_are_an_error(spark):
+    df = spark.createDataFrame([("A" * 61, "T" * 61)], "o string, r string")
+    with pytest.raises(Exception, match="No melting temperature"):
+        duplex.site_tm(df, F.col("o"), F.col("r")).collect()
+
+
+def test_substitutions_of_long_texts(spark):
+    random.seed(13)
+    rows = []
+    for n in (1, 14, 15, 16, 31, 47):
+        a = "".join(random.choice("ACGT") for _ in range(n))
+        b = "".join(random.choice("ACGTN") if random.random() < 0.3 else x for x in a)
+        rows.append((a, b, sum(x != y for x, y in zip(a, b))))
+    got = spark.createDataFrame(rows, "a string, b string, n int").withColumn("d", dna.substitutions(F.col("a"), F.col("b"), 47)).collect()
+    assert all(r["d"] == r["n"] for r in got)
+
+
+def test_slim_join_and_index_find_the_same(spark, monkeypatch):
+    random.seed(14)
+    chroms = ["".join(random.choice("ACGT") for _ in range(900)) for _ in range(3)]
+    g = spark.createDataFrame(list(enumerate(chroms)), "chrom_id int, seq string")
+    qs = spark.createDataFrame([(k, None, chroms[k % 3][40 * k : 40 * k + 18]) for k in range(12)], "query_id int, name string, seq string")
+    run = lambda o, index=None: sorted(tuple(r) for r in hunt.hunt(g, qs, o, index)[0].collect())
+    for o in (HuntOptions(hamming=True), HuntOptions()):
+        plain = run(o)
+        assert plain and run(o, kmers.kmers(g, 7)) == plain and run(o, kmers.kmers(g, 40)) == plain
+        with monkeypatch.context() as m:
+            m.setattr(kmers, "BROADCAST_PATTERNS", 0)
+            assert run(o) == plain
