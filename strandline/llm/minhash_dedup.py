@@ -30,8 +30,8 @@ from .components import components
 ROWS = 4
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-5
-#: Shingles in one side of a block when members of a bucket are compared across components.
-BLOCK = 500_000
+#: Shingles and members in one side of a block when members of a bucket are compared across components.
+BLOCK, BLOCK_ROWS = 500_000, 256
 #: Up to so many ids are broadcast to pick the texts whose full sets are needed; beyond it the texts are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -123,21 +123,33 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
     """Links (u, v) between members of a bucket that are in different components, as many as join what can be joined.
 
-    members: (bucket, band, blocks, id, root, n_shingles, sketch, s). A bucket is dealt, by a hash of the id, to as many blocks
-    as its size asks for, and every two blocks meet in one group. There, members are compared across components: sketches first (a pair at the threshold falls short
-    with a chance of about one in a million), then full sets. A link merges two components, whose members needn't meet any
-    more; so a group returns fewer links than it has members. A pair that shares several bands is compared in the first.
+    members: (bucket, band, few, many, of_many, id, root, n_shingles, sketch, s). The members of a bucket's largest component
+    needn't meet one another: they are dealt to `many` blocks by a hash of the id, all other members to `few`; every block of
+    others meets every block of the largest component and every block of others in a group of its own. There, members are compared
+    across components: sketches first (a pair at the threshold falls short with a chance of about one in a million), then full
+    sets. A link merges two components, whose members needn't meet any more; so a group returns fewer links than it has members.
+    A pair that shares several bands is compared in the first.
     """
     p = percent / 100
     least = max(1, math.floor(t * p - 5.2 * math.sqrt(t * p * (1 - p))))
-    numbered = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # Block i meets block j >= i: a member is sent to one group for every block, not paired with every member.
-    dealt = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "id", "root", "n_shingles", "sketch", "s")
+    h = F.xxhash64("id")
+    block = F.when(F.col("of_many"), F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c).cast("int") - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    numbered = members.withColumn("block", block)
+    me = F.col("block")
+    # kind 0: others with others, i <= j; kind 1: others (side 0) with the largest component (side 1).
+    with_others = F.transform(upto("few"), lambda o: cell(0, F.least(me, o), F.greatest(me, o), (me > o).cast("int")))
+    with_many = F.transform(upto("many"), lambda o: cell(1, me, o, F.lit(0)))
+    of_many = F.transform(upto("few"), lambda o: cell(1, o, me, F.lit(1)))
+    dealt = numbered.withColumn("to", F.explode(F.when(F.col("of_many"), of_many).otherwise(F.concat(with_others, with_many))))
+    dealt = dealt.select("bucket", "to.kind", "to.i", "to.j", "to.side", "band", "id", "root", "n_shingles", "sketch", "s")
 
     def compare(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        i, j, band, ids, n, sk = g["i"][0], g["j"][0], int(g["band"][0]), g["id"], g["n_shingles"], g["sketch"]
-        left, right = np.flatnonzero(g["block"] == i), np.flatnonzero(g["block"] == j)
+        band, ids, n, sk = int(g["band"][0]), g["id"], g["n_shingles"], g["sketch"]
+        alone = g["kind"][0] == 0 and g["i"][0] == g["j"][0]
+        left = np.flatnonzero(g["side"] == 0)
+        right = left if alone else np.flatnonzero(g["side"] == 1)
         comp = g["root"].copy()
         full: dict[int, frozenset] = {}
 
@@ -149,7 +161,7 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
         found = []
         for x in left.tolist():
             y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            y = y[y > x] if i == j else y
+            y = y[y > x] if alone else y
             if not len(y):
                 continue
             equal = sk[y] == sk[x]
@@ -167,7 +179,7 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups arrive one after another; a group that a batch cuts is carried over."""
-        names = ["bucket", "i", "j", "band", "block", "id", "root", "n_shingles"]
+        names = ["bucket", "kind", "i", "j", "side", "band", "id", "root", "n_shingles"]
         carry: dict[str, np.ndarray] = {}
         for batch in _with_end(batches):
             if batch is not None:
@@ -182,14 +194,16 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
                 carry = {c: np.concatenate([carry[c], new[c]]) for c in new} if carry else new
             if not carry:
                 continue
-            step = (carry["bucket"][1:] != carry["bucket"][:-1]) | (carry["i"][1:] != carry["i"][:-1]) | (carry["j"][1:] != carry["j"][:-1])
+            step = np.zeros(len(carry["id"]) - 1, bool)
+            for c in ("bucket", "kind", "i", "j"):
+                step |= carry[c][1:] != carry[c][:-1]
             cuts = [0, *(np.flatnonzero(step) + 1).tolist()] + ([len(carry["id"])] if batch is None else [])
             found = [x for p, q in zip(cuts, cuts[1:]) for x in compare({c: x[p:q] for c, x in carry.items()})]
             carry = {c: x[cuts[-1] :] for c, x in carry.items()} if batch is not None else {}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -227,8 +241,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     root = components(links)
     # The centre of a bucket has met all others; only these can still miss one another.
     now = stored(filled.filter("id <> u").join(root, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("root", "id").alias("root")), "now")
-    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.sum("n_shingles") / BLOCK).cast("long").alias("blocks")).filter("a <> b").select("bucket", "blocks")
-    left = stored(salted_join(now, open_, "bucket", F.col("id"), hot), "open")
+    parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sum"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "sum")).alias("top"), F.sum("n").alias("n"), F.sum("sum").alias("sum")).filter("top.n < n")
+    blocks = lambda n, total: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(total / BLOCK)).cast("long")
+    open_ = open_.select("bucket", F.col("top.root").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("sum") - F.col("top.sum")).alias("few"), blocks(F.col("top.n"), F.col("top.sum")).alias("many"))
+    left = stored(salted_join(now, open_, "bucket", F.col("id"), hot).withColumn("of_many", F.col("root") == F.col("largest")).drop("largest"), "open")
     ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
     sets = _full_sets(docs, ids, ids.count(), k)
     more = stored(_across(left.join(reps.select("id", "sketch"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id"), t, percent), "across")

@@ -74,6 +74,7 @@ def near_rows():
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, percent):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 300)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 3)
     rows = near_rows() + EDGE[:4]
     sets = {}
     for i, t in rows:
