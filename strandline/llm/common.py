@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -78,6 +79,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot
 
 def release_memory() -> None:
     """Give freed memory back to the system at a task's end, as Python workers live on between tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -117,5 +119,7 @@ def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make
                 fn = fn or make()
                 cols = fn(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], names=[*keep, *[f.name for f in fields]])
+        fn = None
+        release_memory()
 
     return src.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import HOT_KEYS, HOT_ROWS, SLICE, byte_slices, hot_keys, named, salted_join, small_batches, stored
+from .common import HOT_KEYS, HOT_ROWS, SLICE, byte_slices, hot_keys, named, release_memory, salted_join, small_batches, stored
 from .components import components
 
 ROWS = 4
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
                 cut = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sk, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -105,6 +106,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame
                 sets = [s.view(np.int64) for s in _sets(part.column(1), k)]
                 cut = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets)))], names=["doc_id", "s"])
+        release_memory()
 
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>")
 
@@ -202,6 +204,7 @@ def _across(members: DataFrame, t: int, percent: int) -> DataFrame:
             carry = {c: x[cuts[-1] :] for c, x in carry.items()} if batch is not None else {}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        release_memory()
 
     return dealt.repartition("bucket", "kind", "i", "j").sortWithinPartitions("bucket", "kind", "i", "j").mapInArrow(run, "u long, v long").distinct()
 

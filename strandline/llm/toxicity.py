@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, held_out, named, small_batches, stored, with_columns
+from .common import byte_slices, held_out, named, release_memory, small_batches, stored, with_columns
 
 OTHER, BREAK, TARGET, NOT, REPORT, QUOTE, INSULT, THREAT = range(8)
 
@@ -51,7 +51,7 @@ class ToxParams:
     seen: int = 3
     lexicon: int = 20_000
     threat: float = 2.0
-    kept: int = 500_000
+    kept: int = 150_000
 
 
 class Transducer:
@@ -215,6 +215,8 @@ def learn_lexicon(sample: DataFrame, p: ToxParams) -> dict[str, float]:
         for s in range(0, len(names), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[s : s + 100_000], pa.string()), *[c.slice(s, 100_000) for c in cols]], names=["f", "neg", "pos", "seen"])
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), *[pa.array([sum(c.values())], pa.int64()) for c in many], pa.array([0], pa.int64())], names=["f", "neg", "pos", "seen"])
+        del many, docs, occ, names, cols
+        release_memory()
 
     got = sample.select("text", "toxic").mapInArrow(run, "f string, neg long, pos long, seen long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "seen")])
     rows = got.filter(f"f = '' or seen >= {p.seen}")
@@ -281,6 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxParams = ToxParams(), held_o
             for part in byte_slices(whole, 0, 4 << 20):
                 x = [scorer.features(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array([r[k] for r in x], pa.float64()) for k in range(len(Scorer.NAMES))]], names=["toxic", *Scorer.NAMES])
+        del scorer
+        release_memory()
 
     got = sample.mapInArrow(run, "toxic int, " + ", ".join(f"{c} double" for c in Scorer.NAMES)).toPandas()
     x, y = got[list(Scorer.NAMES)].to_numpy(float), got["toxic"].to_numpy(float)
