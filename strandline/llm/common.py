@@ -46,9 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def quoted(name: str) -> Column:
+    """A column by a name that may hold dots and backticks."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def named(docs: DataFrame) -> list[Column]:
-    """The columns of docs, by names that may hold dots."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    """The columns of docs, by names that may hold dots and backticks."""
+    return [quoted(c) for c in docs.columns]
 
 
 def stored(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -108,7 +113,7 @@ def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField], make
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
-    src = df.select(*[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
+    src = df.select(*[quoted(c).alias(f"__{k}") for k, c in enumerate(keep)], quoted(text).cast("string").alias("__text"))
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + list(fields))
     n = len(keep)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import quoted, with_columns
 
 #: Characters in a chunk before its overlap, and the first overlap.
 CHUNK, OVERLAP = 32_768, 256
@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
 
         return run
 
-    n_bytes: Column = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
+    n_bytes: Column = F.coalesce(F.octet_length(quoted(text_col).cast("string")), F.lit(0)).cast("long")
     base = docs.drop("n_bytes", "over_limit") if text_col not in ("n_bytes", "over_limit") else docs
     out = with_columns(base.withColumn("n_bytes", n_bytes), text_col, [T.StructField("n_tokens", T.LongType())], make)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
