@@ -258,11 +258,29 @@ def initial(t: Tables, p: LmParams) -> Theta:
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of values by row number."""
+    """Sums of values by row number: a row's first value is copied, the second added and so on, as long as many rows have another; the rest goes by runs."""
     order = np.argsort(rows, kind="stable")
-    r = rows[order]
+    r = rows.take(order)
     cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    return r[cut], np.add.reduceat(values[order], cut, axis=0)
+    times = np.diff(cut, append=len(r))
+    out, layer = values.take(order.take(cut), 0), 1
+    more = np.flatnonzero(times > 1)
+    while len(more) > 128:
+        out[more] += values.take(order.take(cut.take(more) + layer), 0)
+        layer += 1
+        more = more.compress(times.take(more) > layer)
+    if len(more):
+        left = times.take(more) - layer
+        first = np.cumsum(left) - left
+        at = np.repeat(cut.take(more) + layer - first, left) + np.arange(left.sum())
+        out[more] += np.add.reduceat(values.take(order.take(at), 0), first, axis=0)
+    return r.take(cut), out
+
+
+def _put(x: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """x[rows] = values, a whole row at a time."""
+    whole = np.dtype((np.void, x.itemsize * x.shape[1]))
+    np.put(x.view(whole).ravel(), rows, np.ascontiguousarray(values).view(whole).ravel())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -311,19 +329,25 @@ class Nce:
     def _climb(self, which: int, rows: np.ndarray, values: np.ndarray) -> None:
         r, g = _sums(rows.astype(np.uint16) if len(self.used[which]) <= 65536 else rows, values)
         x, sq = self.theta.parts()[which], self.square[which]
-        new = sq[r] + g * g
-        sq[r] = new
-        x[r] += self.p.rate * g / np.sqrt(new)
+        r = r.astype(np.intp)
+        new = sq.take(r, 0)
+        new += g * g
+        _put(sq, r, new)
+        np.sqrt(new, out=new)
+        np.divide(g, new, out=new)
+        new *= np.float32(self.p.rate)
+        new += x.take(r, 0)
+        _put(x, r, new)
         self.used[which][r] += 1
 
     def step(self, a: np.ndarray, b: np.ndarray, node: np.ndarray, leaf: np.ndarray, weight: np.ndarray) -> None:
         th, p, d = self.theta, self.p, self.p.dim
         c1, c2 = th.c[0].copy(), th.c[1].copy()
-        ra, rb = th.r[a], th.r[b]
+        ra, rb = th.r.take(a, 0), th.r.take(b, 0)
         ctx = np.ones((len(a), d + 1), np.float32)
         ctx[:, :d] = ra * c1 + rb * c2
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(p.noise)), self.t.end)
-        qt, qn = th.q[node], th.q[noise]
+        qt, qn = th.q.take(node, 0), th.q.take(noise, 0)
         gn = ctx @ qn.T
         gn -= self.log_kq[noise]
         _sigmoid(gn)
@@ -332,20 +356,20 @@ class Nce:
         g = gp[:, None] * qt[:, :d] + gn @ qn[:, :d]
         deep = np.flatnonzero(leaf >= 0)
         if len(deep):
-            mine, cx = leaf[deep], ctx[deep]
+            mine, cx = leaf[deep], ctx.take(deep, 0)
             block = mine // self.t.width
             lo, size = self.starts[block], self.starts[block + 1] - self.starts[block]
             drawn = self.table[lo[:, None] + (self.rng.random((len(deep), p.near), dtype=np.float32) * size[:, None]).astype(np.int64)]
             rows = np.concatenate([mine[:, None], drawn], 1)
-            ql = th.l[rows]
-            gl = np.matmul(ql, cx[:, :, None])[:, :, 0]
-            gl -= self.log_kl[rows]
+            ql = th.l.take(rows, 0)
+            gl = np.einsum("nkd,nd->nk", ql, cx)
+            gl -= self.log_kl.take(rows)
             _sigmoid(gl)
             np.negative(gl, out=gl)
             gl[:, 0] += 1
             gl *= weight[deep][:, None]
-            g[deep] += np.matmul(gl[:, None, :], ql)[:, 0, :d]
-            self._climb(2, rows.ravel(), (gl[:, :, None] * cx[:, None, :]).reshape(-1, d + 1))
+            g[deep] += np.einsum("nk,nkd->nd", gl, ql)[:, :d]
+            self._climb(2, rows.ravel(), cx.take(np.repeat(np.arange(len(deep)), 1 + p.near), 0) * gl.reshape(-1, 1))
         self._climb(1, np.concatenate([node, noise]), np.concatenate([gp[:, None] * ctx, gn.T @ ctx]))
         self._climb(3, np.arange(2), np.stack([(g * ra).sum(0), (g * rb).sum(0)]))
         self._climb(0, np.concatenate([a, b]), np.concatenate([g * c1, g * c2]))
@@ -463,7 +487,7 @@ class Model:
             part = th.l[j * t.width : (j + 1) * t.width]
             for s in range(0, len(i), 8192):
                 ii = i[s : s + 8192]
-                x = (th.r[a[ii]] * th.c[0] + th.r[b[ii]] * th.c[1]) @ part[:, :d].T + part[:, d]
+                x = (th.r.take(a[ii], 0) * th.c[0] + th.r.take(b[ii], 0) * th.c[1]) @ part[:, :d].T + part[:, d]
                 x -= x.max(1)[:, None]
                 mine = x[np.arange(len(ii)), leaf[ii] - j * t.width]
                 out[ii] += mine - np.log(np.exp(x).sum(1))
