@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .functions import dna, thermo
 from .lineage import shared_path, stored
-from .operators import align, duplex, kmers, neighbors
+from .operators import align, codes, duplex, kmers, neighbors
 from .plans import hunt, padlock, search
 from .plans.config import HuntOptions, PadlockOptions, SearchOptions
 from .sources import fasta, gtf, tables
@@ -686,6 +686,13 @@ def q_padlock_columns(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("rank", *sinks.PADLOCK_COLUMNS[:8], "PadlockSeq", *[F.round(k, 6).alias(k) for k in ("Arm1TM", "ProbeTM")], F.round("ProbeGC", 9).alias("ProbeGC"))
 
 
+@registered("gene_codes", """with d as (select unnest(['1', '2', '3', '4']) as x), w as (select a.x || b.x || c.x || e.x || f.x || g.x as code from d a, d b, d c, d e, d f, d g),
+n as (select code, length(code) - length(replace(code, '1', '')) as ones, cast(code like '%1%' as integer) + cast(code like '%2%' as integer) + cast(code like '%3%' as integer) + cast(code like '%4%' as integer) as kinds from w)
+select code, cast(case ones when 0 then 101 when 1 then 52 else 3 end as integer) as weight from n where kinds >= 3 and ones <= 2""")
+def q_gene_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.eligible(codes.words(spark, "1234", 6))
+
+
 @registered("padlock_edit")
 def q_padlock_edit(spark: SparkSession, sf: str) -> DataFrame:
     return padlock.padlock(genome(spark, sf), flat_regions(spark, sf), gene_barcodes(spark, sf), PadlockOptions(distance=1)).select("gene_id", "chrom_id", "position", "strand", "probe", "padlock", "arm1_tm", "arm2_tm", "probe_tm")

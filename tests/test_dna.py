@@ -399,3 +399,18 @@ def test_slim_join_and_index_find_the_same(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(kmers, "BROADCAST_PATTERNS", 0)
             assert run(o) == plain
+
+
+def test_gene_codes(spark):
+    import itertools
+
+    from strandline.operators import codes
+
+    every = ["".join(x) for x in itertools.product("1234", repeat=6)]
+    assert sorted(x["code"] for x in codes.words(spark, "1234", 6).collect()) == every
+    assert [x["code"] for x in codes.words(spark, "ab", 0).collect()] == [""]
+    got = {x["code"]: x["weight"] for x in codes.eligible(codes.words(spark, "1234", 6)).collect()}
+    assert got == {c: (101, 52, 3)[c.count("1")] for c in every if len(set(c)) >= 3 and c.count("1") <= 2}
+    taken = codes.choose(spark)
+    assert len(set(taken)) == 500 and set(taken) <= set(got) and taken == codes.choose(spark) != codes.choose(spark, seed=2)
+    assert all(sum(a != b for a, b in zip(x, y, strict=True)) >= 2 for x, y in itertools.combinations(taken, 2))
