@@ -414,3 +414,35 @@ def test_gene_codes(spark):
     taken = codes.choose(spark)
     assert len(set(taken)) == 500 and set(taken) <= set(got) and taken == codes.choose(spark) != codes.choose(spark, seed=2)
     assert all(sum(a != b for a, b in zip(x, y, strict=True)) >= 2 for x, y in itertools.combinations(taken, 2))
+
+
+def test_best_score_equals_recursion(spark):
+    import functools
+    import random
+
+    from strandline.operators import align
+
+    def slow(a, b, s, fa, fb):
+        @functools.cache
+        def at(i, j):
+            ways = [0] if i == j == 0 else []
+            if i and j:
+                ways.append(at(i - 1, j - 1) + (s.match if a[i - 1] == b[j - 1] else s.mismatch))
+            if i:
+                ways.append(at(i - 1, j) + (0 if fa and j in (0, len(b)) else s.gap))
+            if j:
+                ways.append(at(i, j - 1) + (0 if fb and i in (0, len(a)) else s.gap))
+            return max(ways)
+
+        return at(len(a), len(b))
+
+    r = random.Random(4)
+    dna = lambda n: "".join(r.choice("ACGT") for _ in range(r.randint(0, n)))
+    for s in (align.Scores(), align.Scores(0, -1, -1), align.Scores(2, -3, -4)):
+        for _ in range(60):
+            a, b, fa, fb = dna(12), dna(9), r.random() < 0.5, r.random() < 0.5
+            assert align.best_score(a, b, s, fa, fb) == slow(a, b, s, fa, fb)
+    a, b = "ACGTACGGTCA", "CGTTACG"
+    assert align.best_score(a, b, align.Scores(0, -1, -1), free_a=True) == align.align(a, b)[0]
+    df = spark.createDataFrame([(a, b), (None, b), ("", "")], "a string, b string")
+    assert [x["best_score"] for x in align.score_column(df, "a", "b").collect()] == [align.best_score(a, b), None, 0]
