@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import gc_fraction, revcomp_acgt
 from ..functions.thermo import tm_perfect
 from ..lineage import stored
-from ..operators import intervals, kmers, neighbors
+from ..operators import intervals, kmers, neighbors, words
 from .config import PadlockOptions
 
 
@@ -68,25 +70,28 @@ def probe_filters(t: DataFrame, o: PadlockOptions) -> DataFrame:
     return _kept(t, (F.col("probe_tm") >= low) & (F.col("probe_tm") <= low + 10), "probe_tm")
 
 
-def _arm_words(t: DataFrame, o: PadlockOptions, d: int) -> DataFrame:
-    """(arm, kmer): for each distinct arm, the words to count: itself or its neighbourhood, on both strands (a word of both strands twice)."""
-    arms = t.select(F.col("arm1").alias("arm")).union(t.select("arm2")).distinct()
-    both = arms.select("arm", F.lit("+").alias("strand"), F.col("arm").alias("seq")).union(arms.select("arm", F.lit("-"), revcomp_acgt(F.col("arm"))))
-    if not d:
-        return both.select("arm", F.col("seq").alias("kmer"))
-    words = neighbors.neighbor_table(both.withColumnRenamed("arm", "query_id"), d, not o.hamming, o.max_neighborhood)
-    return words.select(F.col("query_id").alias("arm"), F.col("neighbor").alias("kmer"))
-
-
 def occurrences(t: DataFrame, genome: DataFrame, o: PadlockOptions, d: int) -> DataFrame:
-    """(arm, n): places in the genome of the words of each distinct arm. Words of different lengths are counted length by length."""
-    words = _arm_words(t, o, d)
-    total = None
-    for k in range(o.arm - (0 if o.hamming else d), o.arm + (0 if o.hamming else d) + 1):
-        of_k = words.filter(F.length("kmer") == k)
-        n = of_k.join(kmers.count_patterns(kmers.kmers(genome, k), of_k), "kmer").select("arm", "n")
-        total = n if total is None else total.unionByName(n)
-    return total.groupBy("arm").agg(F.sum("n").cast("long").alias("n"))
+    """(arm, n): places in the genome of the words of each distinct arm, itself or its neighbourhood, on both strands (a word of both strands twice). Words of different lengths are counted length by length, as numbers: arms with a melting temperature hold A, C, G, T only."""
+    spark = genome.sparkSession
+    arms = stored(t.select(F.col("arm1").alias("arm")).union(t.select("arm2")).distinct(), "arms")
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = arms.withColumn("strand", F.lit("+")).withColumn("seq", F.col("arm")).unionByName(arms.withColumn("strand", F.lit("-")).withColumn("seq", revcomp_acgt(F.col("arm")))).repartition(parts)
+    reach = 0 if o.hamming or not d else d
+    if not d or o.hamming and words.near_size(o.arm, d) < min(o.max_neighborhood, words.MOST_NEAR):
+        near = {o.arm: (both.select("arm", F.col("seq").alias("kmer")), d)}
+    else:
+        table = stored(neighbors.neighbor_table(both.withColumnRenamed("arm", "query_id"), d, not o.hamming, o.max_neighborhood).select(F.col("query_id").alias("arm"), F.col("neighbor").alias("kmer")), "neighbors")
+        near = {k: (table.filter(F.length("kmer") == k), 0) for k in range(o.arm - reach, o.arm + reach + 1)}
+    met = []
+    for k, (kmer, within) in near.items():
+        if k > words.LONGEST:  # too long for numbers
+            of_k = kmer if not within else neighbors.neighbor_table(kmer.select(F.col("arm").alias("query_id"), F.lit("").alias("strand"), F.col("kmer").alias("seq")), within, False, None).select(F.col("query_id").alias("arm"), F.col("neighbor").alias("kmer"))
+            met.append(of_k.join(kmers.count_patterns(kmers.kmers(genome, k), of_k), "kmer").select("arm", "n"))
+            continue
+        of_k = words.near_words(kmer.select("arm", words.number(F.col("kmer")).alias("own")), k, within)
+        met.append(of_k.select("arm", "word").join(words.counts(genome, k, words.marks(of_k)), "word").select("arm", "n"))
+    total = reduce(DataFrame.unionByName, met).groupBy("arm").agg(F.sum("n").cast("long").alias("n"))
+    return arms.join(total, "arm", "left").select("arm", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def unique(t: DataFrame, genome: DataFrame, o: PadlockOptions, d: int) -> DataFrame:
